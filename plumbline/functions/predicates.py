@@ -1,4 +1,8 @@
-"""Cell predicates as Spark columns: disguised nulls, formats, numbers, dates, booleans."""
+"""Cell predicates as Spark SQL text: disguised nulls, formats, numbers, dates, booleans.
+
+They take and give SQL text rather than columns, so that a wide table's expressions are parsed in a
+few calls instead of being built node by node. ``col`` turns text into a column.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,32 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string as SQL text; anything but plain ASCII is written as an escape."""
+    out = []
+    for ch in text:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif " " <= ch <= "~":
+            out.append(ch)
+        else:
+            out.append(f"\\u{ord(ch):04x}")
+    return "'" + "".join(out) + "'"
+
+
+def col(sql: str) -> Column:
+    return F.expr(sql)
+
+
+def any_of(words: list[str]) -> str:
+    return "(" + ", ".join(literal(w) for w in words) + ")"
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC)
 
@@ -29,79 +59,94 @@ def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.StringType)
 
 
-def present(c: Column, dtype: T.DataType) -> Column:
+def present(c: str, dtype: T.DataType) -> str:
     """The cell with NaN turned into null, so that "missing" means one thing."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.nanvl(c, F.lit(None).cast(dtype))
-    return c
+    return f"nanvl({c}, null)" if isinstance(dtype, (T.FloatType, T.DoubleType)) else c
+
+
+def missing(c: str, dtype: T.DataType) -> str:
+    return f"({present(c, dtype)} is null)"
+
 
+def as_double(name: str, dtype: T.DataType) -> str:
+    """A numeric column as double, NaN as null."""
+    return f"cast({present(quoted(name), dtype)} as double)"
 
-def missing(c: Column, dtype: T.DataType) -> Column:
-    return present(c, dtype).isNull()
 
+def strip(c: str) -> str:
+    return f"btrim({c}, {literal(K.WHITESPACE)})"
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(K.WHITESPACE))
 
+# The functions ending in _of take text that is stripped already.
 
-def is_pseudo_null(c: Column) -> Column:
-    return F.lower(strip(c)).isin(K.PSEUDO_NULLS)
+def pseudo_null_of(s: str) -> str:
+    return f"(lower({s}) in {any_of(K.PSEUDO_NULLS)})"
 
 
-def is_boolean_text(c: Column) -> Column:
-    return F.lower(strip(c)).isin(K.BOOLEAN_TOKENS)
+def boolean_of(s: str) -> str:
+    return f"(lower({s}) in {any_of(K.BOOLEAN_TOKENS)})"
 
 
-def has_format(c: Column, name: str) -> Column:
+def is_pseudo_null(c: str) -> str:
+    return pseudo_null_of(strip(c))
+
+
+def is_boolean_text(c: str) -> str:
+    return boolean_of(strip(c))
+
+
+def matches(c: str, pattern: str) -> str:
+    return f"({c} rlike r'{pattern}')"
+
+
+def has_format(c: str, name: str) -> str:
     """True where the stripped cell has the named format (``constants.FORMATS``)."""
-    return strip(c).rlike(K.FORMATS[name])
+    return matches(strip(c), K.FORMATS[name])
 
 
-def to_number(c: Column) -> Column:
-    """Text to double, null where it is not a number.
+def to_number(c: str) -> str:
+    """Text to double, null where it is not a number."""
+    return number_of(strip(c))
+
+
+def number_of(s: str) -> str:
+    """The pattern guards the cast: Spark alone would also read '1d' and '1f'."""
+    infinite = f"if(startswith({s}, '-'), double('-infinity'), double('infinity'))"
+    return f"(case when {matches(s, NUMBER)} then try_cast({s} as double) when {matches(f'lower({s})', INFINITY)} then {infinite} end)"
 
-    The pattern guards the cast: Spark alone would also read '1d' and '1f'.
-    """
-    s = strip(c)
-    infinite = F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(s.rlike(NUMBER), s.try_cast("double")).when(F.lower(s).rlike(INFINITY), infinite)
 
+def to_date(c: str) -> str:
+    """Text to date over a fixed list of layouts, null where none fits."""
+    return date_of(strip(c))
 
-def to_date(c: Column) -> Column:
-    """Text to date over a fixed list of layouts, null where none fits.
 
-    Year first (with an optional time), day/month/year and month/day/year. Layouts are told apart
+def date_of(s: str) -> str:
+    """Year first (with an optional time), day/month/year and month/day/year. Layouts are told apart
     by pattern and read with ``try_cast``, which returns null instead of raising.
     """
-    s = strip(c)
+    def ymd(y: str, m: str, d: str) -> str:
+        return f"try_cast(concat_ws('-', {y}, lpad({m}, 2, '0'), lpad({d}, 2, '0')) as date)"
 
-    def ymd(y: Column, m: Column, d: Column) -> Column:
-        return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
-
-    a, b, year = (F.regexp_extract(s, DAY_MONTH, i) for i in (1, 2, 3))
-    y, m, d = (F.regexp_extract(s, YEAR_FIRST, i) for i in (1, 2, 3))
+    a, b, year = (f"regexp_extract({s}, r'{DAY_MONTH}', {i})" for i in (1, 2, 3))
+    y, m, d = (f"regexp_extract({s}, r'{YEAR_FIRST}', {i})" for i in (1, 2, 3))
+    iso = f"try_cast(regexp_extract({s}, r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}', 0) as date)"
     return (
-        F.when(s.rlike(ISO_DATE), F.regexp_extract(s, r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", 0).try_cast("date"))
-        .when(s.rlike(DAY_MONTH), F.coalesce(ymd(year, b, a), ymd(year, a, b)))
-        .when(s.rlike(YEAR_FIRST), ymd(y, m, d))
+        f"(case when {matches(s, ISO_DATE)} then {iso} when {matches(s, DAY_MONTH)} then coalesce({ymd(year, b, a)}, {ymd(year, a, b)}) "
+        f"when {matches(s, YEAR_FIRST)} then {ymd(y, m, d)} end)"
     )
 
 
-def is_date_text(c: Column) -> Column:
-    return to_date(c).isNotNull()
-
-
-def in_range(c: Column, low: float, high: float) -> Column:
-    return c.between(low, high)
+def is_date_text(c: str) -> str:
+    return f"({to_date(c)} is not null)"
 
 
-def is_corrupt_text(c: Column) -> Column:
+def is_corrupt_text(c: str) -> str:
     """Holds the replacement character, the trace of bytes that were not valid UTF-8."""
-    return c.contains("�")
+    return f"contains({c}, {literal(chr(0xFFFD))})"
 
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+def is_blank(c: str) -> str:
+    return f"({c} is null or {strip(c)} = '')"
 
 
 def relevant(similarity: Column, threshold: float = 0.55) -> Column:

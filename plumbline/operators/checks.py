@@ -258,7 +258,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None, dataset_
 def pseudo_null_tokens(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """The ``k`` most frequent raw disguised nulls per text column."""
     columns = [x for x in (columns or plain_columns(df)) if P.is_text(df.schema[x].dataType)]
-    kept = df.select(*[F.when(P.is_pseudo_null(F.col(f"`{x}`")), F.col(f"`{x}`")).alias(x) for x in columns])
+    kept = df.select(*[F.when(P.col(P.is_pseudo_null(P.quoted(x))), P.col(P.quoted(x))).alias(x) for x in columns])
     return top_values(value_frequencies(kept, columns), k).select("column", F.col("text").alias("token"), "n", c("place").cast("int").alias("place"))
 
 
@@ -277,7 +277,7 @@ def examples(df: DataFrame, key: Sequence[str], column: str, predicate: Column,
 
 
 def not_a_number(column: str) -> Column:
-    v = F.col(f"`{column}`")
-    return v.isNotNull() & P.to_number(v).isNull()
+    v = P.quoted(column)
+    return P.col(f"{v} is not null and {P.to_number(v)} is null")
 
 

@@ -25,7 +25,7 @@ IMPUTATIONS = ["impute_mean", "impute_median", "impute_mode"]
 def fill_statistics(df: DataFrame, columns: Sequence[str] | None = None, dataset_id: str = "table") -> DataFrame:
     """(dataset_id, column, is_numeric, mean, std, median, p1, p99, mode) with disguised nulls left out."""
     columns = list(columns or plain_columns(df))
-    clean = df.select(*[_unmasked(df, x).alias(x) for x in columns])
+    clean = df.selectExpr(*[f"{_unmasked(df, x)} as {P.quoted(x)}" for x in columns])
     freq = value_frequencies(clean, columns)
     spread = quantiles(freq.where(c("number").isNotNull()).select("column", "number", "n"), ["column"], [0.01, 0.5, 0.99])
     mode = top_values(freq, 1).select("column", F.coalesce("text", c("number").cast("string")).alias("mode"))
@@ -36,11 +36,11 @@ def fill_statistics(df: DataFrame, columns: Sequence[str] | None = None, dataset
     )
 
 
-def _unmasked(df: DataFrame, name: str) -> Column:
-    """The cell with NaN and disguised nulls turned into null."""
+def _unmasked(df: DataFrame, name: str) -> str:
+    """The cell with NaN and disguised nulls turned into null, as SQL text."""
     dtype = df.schema[name].dataType
-    v = P.present(F.col(f"`{name}`"), dtype)
-    return F.when(~P.is_pseudo_null(v), v) if P.is_text(dtype) else v
+    v = P.present(P.quoted(name), dtype)
+    return f"if({P.is_pseudo_null(v)}, null, {v})" if P.is_text(dtype) else v
 
 
 # Proposals
@@ -107,7 +107,7 @@ def clip_counts(df: DataFrame, proposals: DataFrame, columns: Sequence[str] | No
         F.max(F.element_at("parameters", "lower").cast("double")).alias("lower"), F.max(F.element_at("parameters", "upper").cast("double")).alias("upper")
     )
     table = bounds.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower", "upper")))).alias("b"))
-    rows = df.select(*[P.present(F.col(f"`{x}`"), df.schema[x].dataType).cast("double").alias(x) for x in names]).withColumn("_b", table.scalar())
+    rows = df.select(*[P.col(P.as_double(x, df.schema[x].dataType)).alias(x) for x in names]).withColumn("_b", table.scalar())
     row = rows.agg(*[
         F.count(F.when((F.col(f"`{x}`") < F.element_at("_b", F.lit(x)).lower) | (F.col(f"`{x}`") > F.element_at("_b", F.lit(x)).upper), 1)).alias(str(i))
         for i, x in enumerate(names)
@@ -307,15 +307,13 @@ def apply(df: DataFrame, plan: CorrectionPlan) -> DataFrame:
     clean = {}
     for x in out.columns:
         dtype = out.schema[x].dataType
-        v = P.present(F.col(f"`{x}`"), dtype)
-        if x in plan.unmask and P.is_text(dtype):
-            v = F.when(~P.is_pseudo_null(v), v)
+        v = _unmasked(out, x) if x in plan.unmask else P.present(P.quoted(x), dtype)
         if x in plan.trim and P.is_text(dtype):
             v = P.strip(v)
         if x in casts:
             v = P.to_number(v)
         clean[x] = v
-    staged = out.select(*[v.alias(x) for x, v in clean.items()])
+    staged = out.selectExpr(*[f"{v} as {P.quoted(x)}" for x, v in clean.items()])
     keep = [x for x in staged.columns if x not in plan.drop_columns]
     computed = [x for x, how in plan.impute.items() if how in ("median", "mean", "mode")]
     needed = sorted({*computed, *plan.clip_to_percentiles, *plan.standardize} & set(staged.columns))

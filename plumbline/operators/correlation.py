@@ -22,7 +22,7 @@ HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of the rows is looked up by
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    return P.present(F.col(f"`{name}`"), df.schema[name].dataType).cast("double")
+    return P.col(P.as_double(name, df.schema[name].dataType))
 
 
 def _pairs(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str, str]]:

@@ -193,7 +193,7 @@ def drift_issues(results: DataFrame, row_count: int | Column, dataset_id: str =
 def side_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, side, n, mean, std, min, max) of numeric columns, one aggregate per side."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        x = {col: P.present(F.col(f"`{col}`"), df.schema[col].dataType).cast("double") for col in columns}
+        x = {col: P.col(P.as_double(col, df.schema[col].dataType)) for col in columns}
         row = df.agg(*[
             F.struct(F.lit(col).alias("column"), F.lit(name).alias("side"), F.count(v).alias("n"), F.avg(v).alias("mean"),
                      F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).alias(str(i))

@@ -22,22 +22,18 @@ def plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
-def cells(df: DataFrame, columns: Sequence[str] | None = None, *, numeric_text: bool = False) -> Column:
+def cells(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Array with one struct (column, number, text) per listed column, to be exploded."""
-    columns = list(columns or plain_columns(df))
     out = []
-    for name in columns:
+    for name in columns or plain_columns(df):
         dtype = df.schema[name].dataType
-        c = F.col(f"`{name}`")
         if P.is_numeric(dtype):
-            # + 0.0 folds -0.0 into 0.0
-            number, text = P.present(c, dtype).cast("double") + 0.0, F.lit(None).cast("string")
+            # + 0 folds -0.0 into 0.0
+            number, text = f"{P.as_double(name, dtype)} + 0.0D", "cast(null as string)"
         else:
-            number, text = F.lit(None).cast("double"), c.cast("string")
-            if numeric_text:
-                number = P.to_number(text)
-        out.append(F.struct(F.lit(name).alias("column"), number.alias("number"), text.alias("text")))
-    return F.array(*out)
+            number, text = "cast(null as double)", f"cast({P.quoted(name)} as string)"
+        out.append(f"named_struct('column', {P.literal(name)}, 'number', {number}, 'text', {text})")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None, *, digest_over: int | None = None) -> DataFrame:
@@ -70,7 +66,7 @@ def approximate_distinct(df: DataFrame, columns: Sequence[str] | None = None) ->
     """Opt-in sketch of the distinct counts: one scan, no shuffle of values."""
     columns = list(columns or plain_columns(df))
     row = df.agg(*[
-        F.approx_count_distinct(P.present(F.col(f"`{c}`"), df.schema[c].dataType)).alias(str(i))
+        F.approx_count_distinct(P.col(P.present(P.quoted(c), df.schema[c].dataType))).alias(str(i))
         for i, c in enumerate(columns)
     ])
     return row.select(F.explode(F.array(*[

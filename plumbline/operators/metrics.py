@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import constants as K
 from plumbline.functions import predicates as P
-from plumbline.functions.expressions import count_where
 from plumbline.operators.frequencies import distinct_counts, plain_columns, value_frequencies
 
 COUNTS = [
@@ -45,54 +45,73 @@ def kind_of(dtype: T.DataType) -> str:
     return "text" if P.is_text(dtype) else "other"
 
 
-def _expressions(name: str, dtype: T.DataType) -> dict[str, Column]:
-    raw = F.col(f"`{name}`")
+@dataclass
+class _Plan:
+    """SQL text for one column: what is computed once per cell, then what is aggregated."""
+
+    stripped: dict[str, str] = field(default_factory=dict)
+    cells: dict[str, str] = field(default_factory=dict)
+    aggregates: dict[str, str] = field(default_factory=dict)
+
+
+def _plan(i: int, name: str, dtype: T.DataType, wanted: set[str]) -> _Plan:
+    """Text cells are stripped once, and each pattern is matched once, whatever is counted from it."""
+    raw = P.quoted(name)
     v = P.present(raw, dtype)
     kind = kind_of(dtype)
-    out = {"n_rows": F.count(F.lit(1)), "n_values": F.count(v), "n_blank": count_where(v.isNull())}
+    plan = _Plan(aggregates={"n_values": f"count({v})"})
+    out = plan.aggregates
+
+    def want(metric: str, aggregate: str) -> None:
+        if metric in wanted:
+            out[metric] = aggregate
+
+    def count_if(metric: str, condition: str) -> None:
+        want(metric, f"count_if({condition})")
+
     number = None
+    count_if("n_blank", f"{v} is null")
     if kind in ("integer", "float"):
-        number = v.cast("double")
-        out |= {
-            "mean": F.avg(number), "std": F.stddev_samp(number), "min": F.min(number), "max": F.max(number),
-            "skewness": F.skewness(number), "kurtosis": F.kurtosis(number),
-        }
+        number = P.as_double(name, dtype)
+        want("mean", f"avg({number})")
+        want("std", f"stddev_samp({number})")
+        for m in ("min", "max", "skewness", "kurtosis"):
+            want(m, f"{m}({number})")
     elif kind == "text":
-        number = P.to_number(raw)
-        fmt = P.format_of_name(name)
-        out |= {
-            "avg_length": F.avg(F.char_length(raw)),
-            "n_pseudo": count_where(P.is_pseudo_null(raw)),
-            "n_number": F.count(number),
-            "n_date": count_where(P.is_date_text(raw)),
-            "n_boolean": count_where(P.is_boolean_text(raw)),
-            "n_blank": count_where(P.is_blank(raw)),
-            "n_corrupt": count_where(P.is_corrupt_text(raw)),
-        }
-        for f in ("email", "phone", "url", "postal", "ip"):
-            out[f"n_{f}"] = count_where(P.has_format(raw, f))
-        for f in ("email", "phone", "url", "postal"):
-            out[f"n_exact_{f}"] = count_where(P.has_format(raw, f) & (P.strip(raw) == raw))
-        for f in ("siret", "siren"):
-            if f == fmt:
-                out[f"n_{f}"] = count_where(P.has_format(raw, f))
+        s, number = f"__s{i}", f"__x{i}"
+        if wanted & set(TEXT_SHARES + RANGES + ["n_blank"]):
+            plan.stripped[s] = P.strip(raw)
+        if wanted & set(RANGES + ["n_number"]):
+            plan.cells[number] = P.number_of(s)
+        want("avg_length", f"avg(char_length({raw}))")
+        want("n_number", f"count({number})")
+        count_if("n_pseudo", P.pseudo_null_of(s))
+        count_if("n_boolean", P.boolean_of(s))
+        count_if("n_date", f"{P.date_of(s)} is not null")
+        count_if("n_blank", f"{raw} is null or {s} = ''")
+        count_if("n_corrupt", P.is_corrupt_text(raw))
+        own = P.format_of_name(name)
+        for f in ("email", "phone", "url", "postal", "ip", *([own] if own in ("siret", "siren") else [])):
+            if wanted & {f"n_{f}", f"n_exact_{f}"}:
+                plan.cells[f"__{f}{i}"] = P.matches(s, K.FORMATS[f])
+                count_if(f"n_{f}", f"__{f}{i}")
+                if f"n_exact_{f}" in COUNTS:
+                    count_if(f"n_exact_{f}", f"__{f}{i} and {s} = {raw}")
     elif kind == "boolean":
-        out["n_true"] = count_where(raw)
+        count_if("n_true", raw)
     if number is not None:
-        out |= {
-            "n_negative": count_where(number < 0),
-            "n_off_percent": count_where((number < 0) | (number > 100)),
-            "n_off_age": count_where((number < 0) | (number > 150)),
-        }
+        count_if("n_negative", f"{number} < 0")
+        count_if("n_off_percent", f"{number} < 0 or {number} > 100")
+        count_if("n_off_age", f"{number} < 0 or {number} > 150")
         bounds = K.SEMANTIC_RANGES.get(P.semantic_of_name(name) or "")
         if bounds:
-            out["n_in_range"] = count_where(number.between(*bounds))
+            count_if("n_in_range", f"{number} between {bounds[0]}D and {bounds[1]}D")
     if kind == "text":
-        out["size_bytes"] = F.coalesce(F.sum(F.octet_length(raw)), F.lit(0))
+        want("size_bytes", f"coalesce(sum(octet_length({raw})), 0)")
     else:
         width = {"boolean": 1, "datetime": 8}.get(kind, 4 if isinstance(dtype, (T.IntegerType, T.FloatType)) else 8)
-        out["size_bytes"] = F.count(v) * width
-    return out
+        want("size_bytes", f"count({v}) * {width}")
+    return plan
 
 
 def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, metrics: Iterable[str] = ALL) -> DataFrame:
@@ -108,31 +127,37 @@ def column_metrics(df: DataFrame, columns: Sequence[str] | None = None, metrics:
 
 
 def _metrics_slice(df: DataFrame, columns: Sequence[str], wanted: set[str], first: int) -> DataFrame:
-    aggregates, rows = [], []
+    aggregates, rows, stripped, cells = ["count(1) as n_rows"], [], [], []
     for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
+
+        def text(value: str | None) -> str:
+            return P.literal(value) if value else "cast(null as string)"
+
         fields = [
-            F.lit(first + i).alias("ordinal"), F.lit(name).alias("column"),
-            F.lit(dtype.simpleString()).alias("dtype"), F.lit(kind_of(dtype)).alias("kind"),
-            F.lit(P.format_of_name(name)).cast("string").alias("name_format"),
-            F.lit(P.semantic_of_name(name)).cast("string").alias("name_type"),
-            F.lit(P.is_identifier_name(name)).alias("name_is_id"),
-            F.lit(name.lower() == "id" or name.lower().endswith("_id")).alias("name_ends_id"),
+            f"{first + i} as ordinal", f"{P.literal(name)} as column", f"{P.literal(dtype.simpleString())} as dtype",
+            f"{P.literal(kind_of(dtype))} as kind", f"{text(P.format_of_name(name))} as name_format",
+            f"{text(P.semantic_of_name(name))} as name_type", f"{P.is_identifier_name(name)} as name_is_id",
+            f"{name.lower() == 'id' or name.lower().endswith('_id')} as name_ends_id",
         ]
-        expressions = {k: e for k, e in _expressions(name, dtype).items() if k in wanted}
+        plan = _plan(i, name, dtype, wanted)
+        expressions = plan.aggregates
+        stripped += [f"{e} as {k}" for k, e in plan.stripped.items()]
+        cells += [f"{e} as {k}" for k, e in plan.cells.items()]
         for metric in ALL:
-            spark_type = "bigint" if metric in COUNTS else "double"
+            value = "null"
             if metric == "n_rows":
-                value = F.col("n_rows")
+                value = "n_rows"
             elif metric in expressions:
-                aggregates.append(expressions[metric].alias(f"{i}_{metric}"))
-                value = F.col(f"{i}_{metric}")
-            else:
-                value = F.lit(None)
-            fields.append(value.cast(spark_type).alias(metric))
-        rows.append(F.struct(*fields))
-    one_row = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
-    return one_row.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
+                aggregates.append(f"{expressions[metric]} as `{i}_{metric}`")
+                value = f"`{i}_{metric}`"
+            fields.append(f"cast({value} as {'bigint' if metric in COUNTS else 'double'}) as {metric}")
+        rows.append(f"struct({', '.join(fields)})")
+    for stage in (stripped, cells):
+        if stage:
+            df = df.selectExpr("*", *stage)
+    # one row, unfolded to one row per column
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def with_distinct(metrics: DataFrame, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

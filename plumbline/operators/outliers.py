@@ -101,7 +101,7 @@ def fit_forest(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None
     draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(SCALE))
     cells = F.array(*[
         F.struct(F.lit(x).alias("column"), F.lit(sample / min(sizes[x], pool)).alias("rate"),
-                 F.when(draw < int(SCALE * min(1.0, pool / sizes[x])), P.present(F.col(f"`{x}`"), df.schema[x].dataType).cast("double")).alias("value"))
+                 F.when(draw < int(SCALE * min(1.0, pool / sizes[x])), P.col(P.as_double(x, df.schema[x].dataType))).alias("value"))
         for x in names
     ])
     pooled = df.select(F.explode(cells).alias("cell"), F.xxhash64(F.lit(seed + 1), *[F.col(k) for k in key]).alias("h")).select("cell.*", "h")
@@ -163,8 +163,8 @@ def detect_outliers(df: DataFrame, forest: Forest, key: Sequence[str]) -> DataFr
     """(key..., column, value, score) of the rows under the cut; the score is relative to the cut."""
     scored = df.select(*key, *[
         F.struct(
-            P.present(F.col(f"`{x}`"), df.schema[x].dataType).cast("double").alias("value"),
-            (forest.score(x, P.present(F.col(f"`{x}`"), df.schema[x].dataType).cast("double")) - F.lit(forest.cuts[x])).alias("score"),
+            P.col(P.as_double(x, df.schema[x].dataType)).alias("value"),
+            (forest.score(x, P.col(P.as_double(x, df.schema[x].dataType))) - F.lit(forest.cuts[x])).alias("score"),
         ).alias(f"_s{i}") for i, x in enumerate(forest.steps)
     ])
     long = scored.select(*key, F.explode(F.array(*[
@@ -216,7 +216,7 @@ def column_context(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def investigate(df: DataFrame, column: str, key: Sequence[str], rows: Column) -> DataFrame:
     """Rows that meet ``rows``, each set against its column: z-score, percentile, fences, reasons, advice."""
-    x = P.present(F.col(f"`{column}`"), df.schema[column].dataType).cast("double")
+    x = P.col(P.as_double(column, df.schema[column].dataType))
     freq = value_frequencies(df, [column]).select("column", "number", "n")
     moments = column_metrics(df, [column], ["mean", "std", "min", "max"])
     quartiles = quantiles(freq, ["column"], [0.25, 0.5, 0.75])

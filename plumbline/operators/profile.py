@@ -105,7 +105,7 @@ def sample_values(df: DataFrame, key: Sequence[str], columns: Sequence[str] | No
     """
     columns = [c for c in (columns or plain_columns(df)) if c not in key] if columns is None else list(columns)
     parts = [
-        df.where(~P.missing(F.col(f"`{c}`"), df.schema[c].dataType))
+        df.where(~P.col(P.missing(P.quoted(c), df.schema[c].dataType)))
         .select(*[F.col(f"`{x}`").alias(f"_k{i}") for i, x in enumerate(key)], F.col(f"`{c}`").cast("string").alias("value"))
         .orderBy(*[f"_k{i}" for i in range(len(key))], "value").limit(k)
         .select(F.lit(c).alias("column"), *[F.col(f"_k{i}") for i in range(len(key))], "value")
@@ -174,7 +174,7 @@ def distribution_label(skewness: Column, kurtosis: Column, pvalue: Column) -> Co
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins between the extremes, empty ones included."""
-    x = P.present(F.col(f"`{column}`"), df.schema[column].dataType).cast("double")
+    x = P.col(P.as_double(column, df.schema[column].dataType))
     values = df.select(x.alias("x")).where(F.col("x").isNotNull())
     ends = values.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high")).alias("ends"))
     # the scalar subquery is one row, computed once and inlined

@@ -97,7 +97,7 @@ def in_the_future(column: str, as_of: str) -> Column:
 
 
 def corrupt_text(column: str) -> Column:
-    return P.is_corrupt_text(F.col(column))
+    return P.col(P.is_corrupt_text(P.quoted(column)))
 
 
 def corrupt_bytes(column: str) -> Column:
@@ -105,7 +105,7 @@ def corrupt_bytes(column: str) -> Column:
 
 
 def required_but_blank(column: str) -> Column:
-    return P.is_blank(F.col(column))
+    return P.col(P.is_blank(P.quoted(column)))
 
 
 def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -137,7 +137,7 @@ def high_cardinality(counts: DataFrame, limit: int = 1000) -> DataFrame:
 
 def beyond_deviations(df: DataFrame, column: str, key: Sequence[str], limit: float = 3.0) -> DataFrame:
     """Rows more than ``limit`` standard deviations from the mean, with their z-score."""
-    x = P.present(F.col(column), df.schema[column].dataType).cast("double")
+    x = P.col(P.as_double(column, df.schema[column].dataType))
     stats = df.agg(F.struct(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias("s")).scalar()
     rows = df.select(*key, x.alias("value")).where(c("value").isNotNull()).withColumn("_s", stats)
     z = (c("value") - c("_s.mean")) / c("_s.std")

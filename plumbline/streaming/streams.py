@@ -49,9 +49,9 @@ def quality_by_window(stream: DataFrame, time: str, width: str = "1 day", delay:
     entries = []
     for x in names:
         dtype = stream.schema[x].dataType
-        v = F.col(f"`{x}`")
-        hidden = P.is_pseudo_null(v) if P.is_text(dtype) else F.lit(False)
-        entries.append(F.struct(F.lit(x).alias("column"), P.missing(v, dtype).cast("int").alias("null"), F.coalesce(hidden, F.lit(False)).cast("int").alias("hidden")))
+        v = P.quoted(x)
+        hidden = P.col(P.is_pseudo_null(v)) if P.is_text(dtype) else F.lit(False)
+        entries.append(F.struct(F.lit(x).alias("column"), P.col(P.missing(v, dtype)).cast("int").alias("null"), F.coalesce(hidden, F.lit(False)).cast("int").alias("hidden")))
     long = stream.withWatermark(time, delay).select(c(time), F.explode(F.array(*entries)).alias("e")).select(time, "e.*")
     rows = long.groupBy(F.window(time, width), "column").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("null").alias("null_share"), F.avg("hidden").alias("pseudo_null_share")
@@ -96,7 +96,7 @@ def confidence_stream(feedback: DataFrame, check: str = "target_type") -> DataFr
 
 def window_bins(stream: DataFrame, time: str, column: str, edges: Sequence[float], width: str = "1 day", delay: str = "1 day") -> DataFrame:
     """(window_start, bin, n) of ``column`` over a stored baseline's edges; values outside are left out."""
-    x = P.present(F.col(column), stream.schema[column].dataType).cast("double")
+    x = P.col(P.as_double(column, stream.schema[column].dataType))
     bin_of = F.lit(1)
     for i, edge in enumerate(edges[1:-1], start=2):
         bin_of = F.when(x > edge, F.lit(i)).otherwise(bin_of)
