@@ -164,7 +164,7 @@ EARLY = "ts < TIMESTAMP '2024-01-15 00:00:00'"
 LATE = "ts >= TIMESTAMP '2024-01-15 00:00:00'"
 
 DRIFTING = {
-    "value": "CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN round(value * 1.3, 2) ELSE value END",
+    "value": "CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN value * 1.3 ELSE value END",
     "steady": "CAST(user_id AS DOUBLE)",
     "kind": "CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' AND event_id % 9 = 0 THEN 'refund' WHEN ts < TIMESTAMP '2024-01-15 00:00:00' AND event_id % 11 = 0 THEN 'trial' ELSE event_type END",
     "ts": "ts", "event_id": "event_id",

@@ -88,7 +88,9 @@ def adjust_from_feedback(proposals: DataFrame, learned: DataFrame) -> DataFrame:
     rows = proposals.join(small(learned.select("correction_type", "confidence_adjustment")), "correction_type", "left")
     shifted = F.greatest(F.lit(0.1), F.least(F.lit(1.0), c("confidence") + c("confidence_adjustment")))
     noted = F.when(c("confidence_adjustment") < -0.1, F.concat(F.array(F.lit("rejected_before")), c("alternatives"))).otherwise(c("alternatives"))
-    return rows.withColumn("confidence", F.coalesce(shifted, c("confidence"))).withColumn("alternatives", noted).select(*proposals.columns)
+    # greatest() and least() skip nulls: without feedback the confidence stays
+    shifted = F.when(c("confidence_adjustment").isNull(), c("confidence")).otherwise(shifted)
+    return rows.withColumn("confidence", shifted).withColumn("alternatives", noted).select(*proposals.columns)
 
 
 def confidence_adjustment(rate: Column) -> Column:

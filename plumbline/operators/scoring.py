@@ -106,7 +106,7 @@ def confidence_score(data_quality: Column, sample_size: Column, consistency: Col
     coverage = rule_coverage if isinstance(rule_coverage, Column) else F.lit(rule_coverage)
     factors = {
         "data_quality": _unit(data_quality), "sample_size": sample_size_factor(sample_size),
-        "signal_consistency": consistency, "historical_accuracy": F.coalesce(_unit(history), F.lit(0.5)),
+        "signal_consistency": consistency, "historical_accuracy": F.when(history.isNull(), 0.5).otherwise(_unit(history)),
         "rule_coverage": _unit(coverage),
     }
     score = sum((f * (weights[k] / total) for k, f in factors.items()), F.lit(0.0))
