@@ -54,9 +54,9 @@ def _proposal(kind: str, confidence: float, parameters: Column, alternatives: It
 
 def propose(issues: DataFrame, statistics: DataFrame) -> DataFrame:
     """Proposals for every issue: strategies by issue type, filled with the column's statistics."""
-    rows = issues.join(
-        statistics.withColumn("_known", F.lit(True)), ["dataset_id", "column"], "left"
-    )
+    known = statistics.withColumn("_known", F.lit(True)).withColumnRenamed("column", "_column")
+    # issues without a column get a key of their own: nulls would all meet in one task
+    rows = issues.withColumn("_column", F.coalesce("column", F.concat(F.lit("\0"), "issue_id"))).join(known, ["dataset_id", "_column"], "left")
     kind, known = c("issue_type"), F.coalesce(c("_known"), F.lit(False))
     at = lambda **extra: details(column=c("column"), **extra)
     missing = (kind == "missing_values") & known
@@ -124,8 +124,8 @@ def validate(proposals: DataFrame, columns: DataFrame, totals: DataFrame, rule_m
     ``rule_matches``: (column, rule_id, text); ``changed``: (column, changed) of ``clip_counts``.
     """
     target = F.element_at("parameters", "column")
-    rows = proposals.withColumn("target", target).join(
-        columns.select("dataset_id", c("column").alias("target"), c("is_numeric").alias("_numeric"), F.lit(True).alias("_exists")), ["dataset_id", "target"], "left"
+    rows = proposals.withColumn("target", target).withColumn("_target", F.coalesce(target, F.concat(F.lit("\0"), "proposal_id"))).join(
+        columns.select("dataset_id", c("column").alias("_target"), c("is_numeric").alias("_numeric"), F.lit(True).alias("_exists")), ["dataset_id", "_target"], "left"
     ).join(totals.select("dataset_id", "row_count"), "dataset_id")
     if changed is not None:
         rows = rows.join(small(changed.select(c("column").alias("target"), "changed")), "target", "left")

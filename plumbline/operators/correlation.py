@@ -15,10 +15,10 @@ from plumbline.functions import predicates as P
 from plumbline.functions.expressions import bands, small
 from plumbline.operators.frequencies import plain_columns
 from plumbline.operators.ordering import cumulative, positions
+from plumbline.operators.skew import hot_keys, join_spread
 
 c = F.col
 PAIRS_PER_SCAN = 300
-HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of the rows is looked up by broadcast
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -67,19 +67,10 @@ def _marginal(joint: DataFrame, axis: str) -> DataFrame:
     return joint.groupBy("pair", axis).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fan"))
 
 
-def _attach(rows: DataFrame, table: DataFrame, axis: str, value: str) -> DataFrame:
-    """``rows`` with ``value`` looked up by (pair, axis), safe against hot keys.
-
-    Keys that more than 1/HOT_SHARE of a pair's rows carry (so at most HOT_SHARE of them per pair)
-    are looked up by broadcast; the others are joined by a shuffle of the rest.
-    """
-    totals = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("_rows"))
-    sized = table.join(small(totals), "pair")
-    hot = sized.where(c("fan") * HOT_SHARE > c("_rows")).select("pair", axis, value)
-    cold = sized.where(c("fan") * HOT_SHARE <= c("_rows")).select("pair", axis, value)
-    with_hot = rows.join(small(hot), ["pair", axis])
-    with_cold = rows.join(small(hot.select("pair", axis)), ["pair", axis], "left_anti").join(cold, ["pair", axis])
-    return with_hot.unionByName(with_cold)
+def _attach(rows: DataFrame, table: DataFrame, marginal: DataFrame, axis: str) -> DataFrame:
+    """``rows`` (distinct x, y per pair) joined with ``table`` by (pair, axis), hot values spread."""
+    hot = hot_keys(marginal.select("pair", axis, "fan"), ["pair", axis], "fan", ["pair"])
+    return join_spread(rows, table, ["pair", axis], hot, ["x", "y"])
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -88,8 +79,9 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     joint = joint_frequencies(df, pairs)
     rows = joint
     for axis, rank in (("x", "rx"), ("y", "ry")):
-        ranks = cumulative(_marginal(joint, axis), ["pair"], axis).withColumn(rank, c("n_before") + (c("n") + 1) / 2.0)
-        rows = _attach(rows, ranks.select("pair", axis, rank, "fan"), axis, rank)
+        marginal = _marginal(joint, axis)
+        ranks = cumulative(marginal, ["pair"], axis).withColumn(rank, c("n_before") + (c("n") + 1) / 2.0)
+        rows = _attach(rows, ranks.select("pair", axis, rank), marginal, axis)
     totals = joint.groupBy("pair").agg(((F.sum("n") + 1) / 2.0).alias("center"))
     dx, dy, n = c("rx") - c("center"), c("ry") - c("center"), c("n")
     out = rows.join(small(totals), "pair").groupBy("pair").agg(
@@ -103,7 +95,7 @@ def _named(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.withColumn("_n", F.get(names, c("pair"))).select("_n.column_1", "_n.column_2", "correlation")
 
 
-def kendall(df: DataFrame, first: str, second: str, slices: int = 128) -> DataFrame:
+def kendall(df: DataFrame, first: str, second: str, slices: int | None = None) -> DataFrame:
     """(column_1, column_2, correlation): tau-b by an exact count of the inversions.
 
     With rows in (x, y) order, an inversion is a pair whose y falls. Written in binary, two y ranks
@@ -111,9 +103,10 @@ def kendall(df: DataFrame, first: str, second: str, slices: int = 128) -> DataFr
     bit set that precede rows without it. Each count is a running sum, cut into ``slices`` of the
     order so that no group of rows is summed by one task.
     """
+    slices = slices or max(128, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joint = joint_frequencies(df, [(first, second)])
     y_rank = cumulative(_marginal(joint, "y").withColumn("one", F.lit(1)), ["pair"], "y", ["one"])
-    ranked = _attach(joint, y_rank.select("pair", "y", c("one_before").cast("long").alias("rank"), "fan"), "y", "rank")
+    ranked = _attach(joint, y_rank.select("pair", "y", c("one_before").cast("long").alias("rank")), _marginal(joint, "y"), "y")
     placed = positions(ranked, ["x", "y"])  # checkpointed: the counts below read it again
     head = placed.agg(F.count(F.lit(1)), F.max("rank")).first()
     size, top = head[0], head[1] or 0

@@ -41,8 +41,9 @@ def missing_required_types(detected: DataFrame, semantic: DataFrame, profiles: D
 def raise_severity(issues: DataFrame, detected: DataFrame, semantic: DataFrame, profiles: DataFrame) -> DataFrame:
     """Issues with the severity of their column's type raised (never lowered) by the domain."""
     overrides = detected.join(profiles.select("domain_id", F.explode("severity_overrides").alias("semantic_type", "raised")), "domain_id")
-    by_column = semantic.join(overrides, ["dataset_id", "semantic_type"]).select("dataset_id", "column", F.lower("raised").alias("_raised"))
-    rows = issues.join(by_column, ["dataset_id", "column"], "left")
+    by_column = semantic.join(overrides, ["dataset_id", "semantic_type"]).select("dataset_id", c("column").alias("_column"), F.lower("raised").alias("_raised"))
+    # issues without a column get a key of their own: nulls would all meet in one task
+    rows = issues.withColumn("_column", F.coalesce("column", F.concat(F.lit("\0"), "issue_id"))).join(by_column, ["dataset_id", "_column"], "left")
     severity = stronger(c("severity"), c("_raised"))
     out = rows.withColumn("severity", severity).withColumn(
         "needs_escalation", (c("severity") == "critical") | (c("confidence") < 0.7)

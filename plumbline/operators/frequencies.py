@@ -39,16 +39,31 @@ def cells(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None, *, digest_over: int | None = None) -> DataFrame:
     """(column, number, text, n): how often each non-null value occurs.
 
-    ``digest_over``: texts longer than this are counted under the SHA-256 of the whole text, which
-    keeps long texts out of the shuffle where only their distinctness matters.
+    Numbers and texts are counted apart, each from a scan of its own columns, under the position of
+    the column: short keys of fixed width where they can be. ``digest_over``: texts longer than this
+    are counted under the SHA-256 of the whole text, which keeps long texts out of the shuffle where
+    only their distinctness matters.
     """
-    long = df.select(F.explode(cells(df, columns)).alias("cell")).select("cell.*")
-    long = long.where(F.col("number").isNotNull() | F.col("text").isNotNull())
-    if digest_over is not None:
-        text = F.col("text")
-        digest = F.concat(F.lit("sha256:"), F.sha2(text, 256))
-        long = long.withColumn("text", F.when(F.octet_length(text) > digest_over, digest).otherwise(text))
-    return long.groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    columns = list(columns or plain_columns(df))
+    names = "array(" + ", ".join(P.literal(x) for x in columns) + ")"
+    parts = []
+    for numeric in (True, False):
+        entries = []
+        for i, name in enumerate(columns):
+            dtype = df.schema[name].dataType
+            if P.is_numeric(dtype) != numeric:
+                continue
+            # + 0 folds -0.0 into 0.0
+            value = f"{P.as_double(name, dtype)} + 0.0D" if numeric else f"cast({P.quoted(name)} as string)"
+            if not numeric and digest_over is not None and P.is_text(dtype):
+                value = f"if(octet_length({value}) > {digest_over}, concat('sha256:', sha2({value}, 256)), {value})"
+            entries.append(f"struct({i} as at, {value} as value)")
+        if not entries:
+            continue
+        counted = df.selectExpr(f"inline(array({', '.join(entries)}))").where("value is not null").groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+        kinds = ("value", "cast(null as string)") if numeric else ("cast(null as double)", "value")
+        parts.append(counted.selectExpr(f"element_at({names}, at + 1) as column", f"{kinds[0]} as number", f"{kinds[1]} as text", "n"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def distinct_counts(freq: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ are exact whatever the bounds are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 from plumbline.functions.expressions import slots_below, small
 from plumbline.session import cut_lineage
 
-BITS = 7  # 2**7 = 128 buckets per column; raise it with the number of distinct values
+def default_bits(df: DataFrame) -> int:
+    """2**bits buckets per column: about two per shuffle partition, 32 to 1024 of them."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(10, max(5, math.ceil(math.log2(2 * partitions))))
 
 
-def bucketed(freq: DataFrame, by: Sequence[str], value: str = "number", bits: int = BITS) -> DataFrame:
+def bucketed(freq: DataFrame, by: Sequence[str], value: str = "number", bits: int | None = None) -> DataFrame:
     """``freq`` (distinct ``value`` per ``by``) with its ``bucket`` number, ascending in ``value``."""
+    bits = bits or default_bits(freq)
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     bounds = freq.groupBy(*by).agg(F.percentile_approx(value, cuts, 10_000).alias("bounds"))
     return (
@@ -50,13 +55,13 @@ def _inside(buckets: DataFrame, offsets: DataFrame, by: Sequence[str], value: st
     return out.drop("bucket", *[f"{w}_local" for w in weights], *[f"{w}_start" for w in weights])
 
 
-def cumulative(freq: DataFrame, by: Sequence[str], value: str = "number", weights: Sequence[str] = ("n",), bits: int = BITS) -> DataFrame:
+def cumulative(freq: DataFrame, by: Sequence[str], value: str = "number", weights: Sequence[str] = ("n",), bits: int | None = None) -> DataFrame:
     """``freq`` plus ``<weight>_before``: the sum of each weight over smaller values of the same ``by``."""
     buckets = bucketed(freq, by, value, bits)
     return _inside(buckets, bucket_offsets(buckets, by, weights), by, value, weights)
 
 
-def quantiles(freq: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "number", weight: str = "n", bits: int = BITS) -> DataFrame:
+def quantiles(freq: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "number", weight: str = "n", bits: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles: (by..., quantiles array, in the order of ``probs``).
 
     Only the buckets that hold a wanted position are sorted, so this costs one pass over the

@@ -18,6 +18,7 @@ from plumbline.functions import predicates as P
 from plumbline.functions.expressions import contains_any, percent, small
 from plumbline.operators.checks import c, details, finish, issue, repeats
 from plumbline.operators.similarity import text_top_k
+from plumbline.operators.skew import hot_keys, join_spread
 
 
 def active_rules(rules: DataFrame, rule_type: str | None = None) -> DataFrame:
@@ -159,23 +160,48 @@ def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str],
     A partner is a row of the same block that agrees on at least ``ratio`` of the compared columns.
     Two rows that agree on k of m columns agree on some subset of k columns, so rows are grouped once
     per subset of that size and never paired. ``partners`` is the largest such group, less the row.
-    Exact copies are folded first. The join back to the groups is left to adaptive skew handling.
+    Exact copies are folded first, and the rows of a large group are spread over several tasks.
     """
     m = len(compare)
     keep = math.ceil(ratio * m - 1e-9)
     columns = [*block, *compare]
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    seen = F.array(*[
-        F.struct(F.lit(i).alias("s"), *[
-            (F.col(x) if j in subset else F.lit(None)).cast("string").alias(f"v{j}") for j, x in enumerate(compare)
-        ])
+    # a signature is the block, the subset's number and its values, as JSON: equal text, equal values
+    signatures = F.array(*[
+        F.to_json(F.struct(*block, F.lit(i).alias("_subset"), *[compare[k] for k in subset]))
         for i, subset in enumerate(itertools.combinations(range(m), keep))
     ])
-    signed = rows.select(*columns, "copies", F.explode(seen).alias("sig"))
-    groups = signed.groupBy(*block, "sig").agg(F.sum("copies").alias("rows")).where("rows > 1")
-    b = groups.select(*[F.col(x).alias(f"_{x}") for x in block], F.col("sig").alias("_sig"), "rows")
-    same = F.col("sig").eqNullSafe(F.col("_sig"))
-    for x in block:
-        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    return signed.join(b, same).groupBy(*columns, "copies").agg((F.max("rows") - 1).alias("partners"))
+    signed = rows.select(*columns, "copies", F.explode(signatures).alias("sig"))
+    groups = signed.groupBy("sig").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("fan"))
+    shared = groups.where("rows > 1")
+    found = join_spread(signed, shared.select("sig", "rows"), ["sig"], hot_keys(groups.select("sig", "fan"), ["sig"], "fan"), columns)
+    return found.groupBy(*columns, "copies").agg((F.max("rows") - 1).alias("partners"))
 
+
+# Executable rules: a rule row with ``kind`` and ``params``, bound to columns by the caller.
+
+ROW_KINDS = {
+    "min": lambda col, p: F.col(col) < float(p["limit"]),
+    "range": lambda col, p: ~F.col(col).between(float(p["low"]), float(p["high"])),
+    "format": lambda col, p: ~P.col(P.has_format(P.quoted(col), p["format"])),
+    "phone_characters": lambda col, p: bad_phone_characters(col),
+    "date_order": lambda col, p: ends_before_start(p["start"], col),
+    "not_future": lambda col, p: in_the_future(col, p["as_of"]),
+    "encoding": lambda col, p: corrupt_text(col),
+    "required": lambda col, p: required_but_blank(col),
+    "expression": lambda col, p: ~F.expr(p["expression"]),
+}
+
+
+def bind_rules(rules: DataFrame, bindings: dict[str, list[str]], **params: str) -> dict[str, tuple[Column, str, str]]:
+    """Row predicates of the active rules with a row kind, for ``predicate_issues``.
+
+    ``bindings`` names the columns of each rule id; ``params`` are added to the rule's own. A rule of
+    kind 'expression' holds SQL that is true on good rows. The rules are a table of parameters.
+    """
+    out = {}
+    for r in active_rules(rules).where(c("kind").isin(list(ROW_KINDS))).collect():
+        for column in bindings.get(r["rule_id"], []):
+            predicate = ROW_KINDS[r["kind"]](column, {**(r["params"] or {}), **params})
+            out[f"{r['rule_id']}:{column}"] = (predicate, r["severity"], column)
+    return out

@@ -17,7 +17,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def sniff_csv(spark: SparkSession, path: str) -> dict[str, str]:
     """Delimiter and encoding of a CSV: the delimiter that cuts the first lines evenly and most
-    often; latin-1 where reading as UTF-8 leaves replacement characters (any byte is valid latin-1).
+    often; latin-1 where some line is not valid UTF-8 (any byte is valid latin-1).
     """
     lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect() if r["value"].strip()]
     best, fields = ",", 1
@@ -27,7 +27,7 @@ def sniff_csv(spark: SparkSession, path: str) -> dict[str, str]:
             best, fields = d, counts.pop() + 1
     if fields == 1 and lines:  # quoted or ragged lines: go by the header
         best = max(DELIMITERS, key=lines[0].count) if max(map(lines[0].count, DELIMITERS)) else ","
-    damaged = not spark.read.text(path).where(F.col("value").contains("�")).isEmpty()
+    damaged = not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
     return {"sep": best, "encoding": "ISO-8859-1" if damaged else "UTF-8"}
 
 
