@@ -88,6 +88,15 @@ def mixed_type_samples(spark, folder):
     return C.examples(customers(spark, folder), ["row_key"], "code", C.not_a_number("code"), 10)
 
 
+@query(over(CUSTOMERS_SQL, union([
+    f"(SELECT 'email_hidden' AS predicate, row_key FROM t WHERE {pseudo('email')} ORDER BY row_key LIMIT 100)",
+    "(SELECT 'age_missing', row_key FROM t WHERE age IS NULL ORDER BY row_key LIMIT 100)"])))
+def affected_row_keys(spark, folder):
+    """The keys of the first hundred rows behind an issue."""
+    return C.affected_rows(customers(spark, folder), ["row_key"], {
+        "email_hidden": P.col(P.is_pseudo_null("email")), "age_missing": F.col("age").isNull()})
+
+
 @query(over(CUSTOMERS_SQL, f"SELECT count({number('code')}) AS numbers, count(code) AS present, round(sum({number('code')}), 4) AS total FROM t"))
 def numeric_text(spark, folder):
     return customers(spark, folder).select(P.col(P.to_number("code")).alias("x"), "code").agg(

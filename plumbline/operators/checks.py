@@ -181,9 +181,10 @@ SEMANTIC_CHECKS = {"negative_amount", "percentage_range", "age_range", "semantic
 STANDARD = list(CHECKS)
 
 
-def check_metrics(df: DataFrame, checks: Sequence[str], columns: Sequence[str] | None = None, semantic: DataFrame | None = None) -> DataFrame:
-    """The metrics the listed checks need, with distinct counts and business types where asked for."""
-    wanted = {m for name in checks for m in CHECKS[name][1]}
+def check_metrics(df: DataFrame, checks: Sequence[str], columns: Sequence[str] | None = None, semantic: DataFrame | None = None,
+                  extra: Sequence[str] = ()) -> DataFrame:
+    """The metrics the listed checks need and ``extra`` ones, with distinct counts and types where asked for."""
+    wanted = {m for name in checks for m in CHECKS[name][1]} | set(extra)
     with_types = bool(SEMANTIC_CHECKS & set(checks))
     rows = M.column_metrics(df, columns, wanted - {"n_distinct"})
     if "n_distinct" in wanted or (with_types and semantic is None):

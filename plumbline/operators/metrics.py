@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import constants as K
 from plumbline.functions import predicates as P
+from plumbline.functions.expressions import small
 from plumbline.operators.frequencies import distinct_counts, plain_columns, value_frequencies
 
 COUNTS = [
@@ -164,6 +165,6 @@ def with_distinct(metrics: DataFrame, df: DataFrame, columns: Sequence[str] | No
     """Adds the exact number of distinct non-null values per column."""
     freq = value_frequencies(df, columns, digest_over=64)
     counts = distinct_counts(freq).select("column", "n_distinct")
-    return metrics.join(F.broadcast(counts), "column", "left").withColumn(
+    return metrics.join(small(counts), "column", "left").withColumn(
         "n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint"))
     )

@@ -84,9 +84,9 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, probs:
     )
 
 
-def table_totals(metrics: DataFrame) -> DataFrame:
-    """Rows, columns, null cells and bytes of a table, from its column metrics."""
-    return metrics.agg(
+def table_totals(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, columns, null cells and bytes of a table (or one per ``by``), from its column metrics."""
+    return metrics.groupBy(*by).agg(
         F.max("n_rows").alias("row_count"), F.count(F.lit(1)).alias("column_count"),
         F.sum(F.col("n_rows") - F.col("n_values")).alias("total_null_count"),
         F.sum("size_bytes").alias("size_bytes"),

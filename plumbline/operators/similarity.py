@@ -22,7 +22,8 @@ def text_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_text:
     """(query_id, item_id, similarity, place): the ``k`` nearest corpus texts per query.
 
     Cosine of TF-IDF vectors, document frequencies taken from the corpus. The pairs come from an
-    inverted index (a join on terms), so texts that share nothing never meet.
+    inverted index (a join on terms), so texts that share nothing never meet. The corpus is meant to
+    be a catalogue (rules, decisions, feedback): a term most of its texts share meets them all.
     """
     q = queries.select(F.col(query_id).alias("q"), F.explode(terms(F.col(query_text))).alias("term"))
     d = corpus.select(F.col(item_id).alias("d"), F.explode(terms(F.col(item_text))).alias("term"))

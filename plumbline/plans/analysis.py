@@ -1,7 +1,8 @@
 """Whole runs: profile, check, recommend, correct and compare a table.
 
-Everything is lazy until a result is read; a run that reads the input several times can be given a
-persisted DataFrame by the caller, who knows its size.
+``find_issues`` is lazy. ``run`` and ``correct_and_compare`` feed several results from the same small
+tables (a few rows per column), so they write those to the checkpoint folder once; otherwise each
+result would scan the input again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from plumbline.operators import profile as prof
 from plumbline.operators import semantic as sem
 from plumbline.operators.frequencies import plain_columns
 from plumbline.operators.history import dataset_id as identity
+from plumbline.session import cut_lineage
 from plumbline.sources.readers import read_table
 
 PRESETS = {
@@ -48,10 +50,13 @@ def find_issues(df: DataFrame, *, checks: Sequence[str] = C.STANDARD, duplicates
                 semantic: DataFrame | None = None, rule_table: DataFrame | None = None, domain_profiles: DataFrame | None = None,
                 reference: DataFrame | None = None, key: Sequence[str] | None = None, detect_outliers: bool = False,
                 row_rules: Mapping[str, tuple] | None = None, dataset_id: str | None = None, min_confidence: float = 0.6,
-                learned: DataFrame | None = None) -> DataFrame:
-    """The issue table of one table; what runs is what the arguments list, nothing is planned behind them."""
+                learned: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """The issue table of one table; what runs is what the arguments list, nothing is planned behind them.
+
+    ``measured`` may hold the ``checks.check_metrics`` of the same checks, if they are at hand.
+    """
     dataset_id = dataset_id or identity(df)
-    rows = C.check_metrics(df, checks, columns, semantic)
+    rows = measured if measured is not None else C.check_metrics(df, checks, columns, semantic)
     matches = overrides = None
     if rule_table is not None:
         names = df.sparkSession.createDataFrame([(x, t) for x, t in df.dtypes], "column string, type string")
@@ -91,8 +96,13 @@ def find_issues(df: DataFrame, *, checks: Sequence[str] = C.STANDARD, duplicates
     return found
 
 
-def totals_of(df: DataFrame, dataset_id: str) -> DataFrame:
-    return prof.table_totals(metrics.column_metrics(df, None, ["size_bytes"])).withColumn("dataset_id", F.lit(dataset_id))
+def measure_and_check(df: DataFrame, dataset_id: str, checks: Sequence[str] = C.STANDARD, columns: Sequence[str] | None = None,
+                      semantic: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(totals, issues), both written once; one scan gives the totals and the metrics of the checks."""
+    rows = C.check_metrics(df, checks, columns, semantic, ["size_bytes"])
+    rows = cut_lineage(rows.withColumn("dataset_id", F.lit(dataset_id)))
+    found = find_issues(df, checks=checks, columns=columns, semantic=semantic, dataset_id=dataset_id, measured=rows, **options)
+    return prof.table_totals(rows, ["dataset_id"]), cut_lineage(found)
 
 
 def columns_of(df: DataFrame, dataset_id: str) -> DataFrame:
@@ -106,18 +116,18 @@ def run(df: DataFrame, preset: str = "analyze", *, learned_corrections: DataFram
     report = QualityReport(options.pop("dataset_id", None) or identity(df))
     out, ident = report.tables, report.dataset_id
     if "profile" in stages:
-        out["profile"] = prof.profile(df)
+        out["profile"] = cut_lineage(prof.profile(df))
     if "issues" in stages:
-        out["issues"] = find_issues(df, rule_table=rule_table, dataset_id=ident, **options)
-        out["totals"] = totals_of(df, ident)
+        out["totals"], out["issues"] = measure_and_check(df, ident, rule_table=rule_table, **options)
         out["column_scores"] = scoring.column_scores(columns_of(df, ident), out["issues"])
         out["score"] = scoring.dataset_score(out["totals"], out["issues"])
         out["counts"] = scoring.issue_counts(out["issues"])
     if "proposals" in stages:
-        stats = R.fill_statistics(df, dataset_id=ident)
-        out["proposals"] = R.propose(out["issues"], stats)
+        stats = cut_lineage(R.fill_statistics(df, dataset_id=ident))
+        proposals = R.propose(out["issues"], stats)
         if learned_corrections is not None:
-            out["proposals"] = R.adjust_from_feedback(out["proposals"], learned_corrections)
+            proposals = R.adjust_from_feedback(proposals, learned_corrections)
+        out["proposals"] = cut_lineage(proposals)
         out["improvement"] = R.estimated_improvement(out["proposals"], out["score"])
         out["plan"] = R.correction_plan(out["issues"])
     if "validations" in stages:
@@ -125,7 +135,7 @@ def run(df: DataFrame, preset: str = "analyze", *, learned_corrections: DataFram
         if rule_table is not None:
             names = df.sparkSession.createDataFrame([(x,) for x in df.columns], "column string")
             matches = rules.match_rules(names, rule_table, 5, 0.5)
-        out["validations"] = R.validate(out["proposals"], stats, out["totals"], matches, R.clip_counts(df, out["proposals"]))
+        out["validations"] = cut_lineage(R.validate(out["proposals"], stats, out["totals"], matches, R.clip_counts(df, out["proposals"])))
         out["approved"] = R.approve(out["proposals"], out["validations"])
     return report
 
@@ -133,13 +143,13 @@ def run(df: DataFrame, preset: str = "analyze", *, learned_corrections: DataFram
 def correct_and_compare(df: DataFrame, plan: R.CorrectionPlan | None = None, dataset_id: str | None = None, **options) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(corrected table, comparison tables): scores before and after, issue types gone, columns improved."""
     ident = dataset_id or identity(df)
-    before = find_issues(df, dataset_id=ident, **options)
+    totals_before, before = measure_and_check(df, ident, **options)
     plan = plan or R.plan_from_issues(before, df)
     corrected = R.apply(df, plan)
-    after = find_issues(corrected, dataset_id=ident, **options)
+    totals_after, after = measure_and_check(corrected, ident, **options)
     columns = columns_of(df, ident)
     scores = [scoring.column_scores(columns, x) for x in (before, after)]
-    totals = [scoring.dataset_score(totals_of(t, ident), x) for t, x in ((df, before), (corrected, after))]
+    totals = [scoring.dataset_score(t, x) for t, x in ((totals_before, before), (totals_after, after))]
     return corrected, {
         "scores": R.comparison(*totals), "issue_types": R.issue_type_changes(before, after),
         "columns_improved": R.improved_columns(*scores),

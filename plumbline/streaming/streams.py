@@ -60,7 +60,11 @@ def quality_by_window(stream: DataFrame, time: str, width: str = "1 day", delay:
 
 
 class ConfidenceFold(StatefulProcessor):
-    """Confidence of one check type, moved by each feedback in event-time order within a batch."""
+    """Confidence of one check type, moved by each feedback in event-time order within a batch.
+
+    The events of a check in one micro-batch are sorted in memory: bound the batch at the source
+    (maxFilesPerTrigger, maxBytesPerTrigger). A backlog is better folded by ``feedback.confidence_fold``.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("confidence", T.DoubleType()), T.StructField("false_positives", T.LongType()), T.StructField("confirmations", T.LongType())])
