@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import let, same_row, stored
 
 WORDS = 10
+PARTS = 16
 KEYS = ["doc_id", "h"]
 
 
@@ -25,12 +26,13 @@ def _lines(text: Column) -> Column:
 
 
 def _sequence(text: Column) -> Column:
-    """array<struct<at, h, n>> of the lines that are not blank: place among all lines, hash without outer white space, words."""
-    def entry(line: Column, at: Column) -> Column:
-        bare = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
-        return F.struct(at.alias("at"), F.xxhash64(bare).alias("h"), F.size(F.split(bare, " +")).alias("n"), (bare == "").alias("blank"))
+    """array<struct<at, h, n>> of the lines that are not blank: place among all lines, hash without outer white space, words (inner spaces and one)."""
+    def entry(bare: Column, at: Column) -> Column:
+        words = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+        return F.when(bare != "", F.struct(at.alias("at"), F.xxhash64(bare).alias("h"), words.alias("n")))
 
-    return F.filter(F.transform(_lines(text), entry), lambda x: ~x["blank"])
+    bare = F.transform(_lines(text), lambda line: F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    return F.filter(F.transform(bare, entry), lambda x: x.isNotNull())
 
 
 def _reach(part: Column, words: int) -> Column:
@@ -41,17 +43,18 @@ def _reach(part: Column, words: int) -> Column:
 
 
 def _window(lines: Column, first: Column, size: Column) -> Column:
-    """struct<fp, spot, content, first, size> of the run of ``size`` lines from place ``first`` (from 0); fp stands at ``spot``."""
-    def made(hashes: Column) -> Column:
+    """struct<fp, spot, content, first, at> of the run of ``size`` lines from place ``first`` (from 0); fp stands at ``spot``, and at has the lines' places in the text."""
+    def made(part: Column) -> Column:
+        hashes = part["h"]
         fp = F.array_min(hashes)
         spot = first + F.array_position(hashes, fp) - 1
-        return F.struct(fp.alias("fp"), spot.cast("int").alias("spot"), F.xxhash64(hashes).alias("content"), first.cast("int").alias("first"), size.cast("int").alias("size"))
+        return F.struct(fp.alias("fp"), spot.cast("int").alias("spot"), F.xxhash64(hashes).alias("content"), first.cast("int").alias("first"), part["at"].alias("at"))
 
-    return F.when(size.isNotNull(), let(F.transform(F.slice(lines, first + 1, size), lambda x: x["h"]), made))
+    return F.when(size.isNotNull(), let(F.slice(lines, first + 1, size), made))
 
 
 def _windows(lines: Column, words: int) -> Column:
-    """All windows of a document's ``lines``, each once. A line that is not blank has a word, so none looks at over ``words`` lines."""
+    """The windows from and up to each of a document's ``lines``; some come twice. A line has a word at least, so none looks at over ``words`` lines."""
     n = F.size(lines)
 
     def forward(i: Column) -> Column:
@@ -64,11 +67,11 @@ def _windows(lines: Column, words: int) -> Column:
     def every(make) -> Column:
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array())
 
-    return F.array_distinct(F.filter(F.concat(every(forward), every(backward)), lambda w: w.isNotNull()))
+    return F.filter(F.concat(every(forward), every(backward)), lambda w: w.isNotNull())
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, h, first, size): windows of the non-blank lines whose content occurs at an earlier place.
+    """(doc_id, h, at): places of the lines of windows whose content occurs at an earlier place.
 
     h is xxhash64 of the text. Places are ordered by doc_id (null first), h, line.
     """
@@ -77,10 +80,12 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     windows = stored(found)
     marks = windows.groupBy("fp").agg(F.min(F.struct(*KEYS, "spot")).alias("low"), F.max(F.struct(*KEYS, "spot")).alias("high"))
     followed = marks.where("low <> high").select("fp")
-    met = windows.join(followed, "fp")
+    # a fingerprint that very many places have is dealt over PARTS, each with its own row of ``followed``
+    part = F.pmod(F.xxhash64(*KEYS, "first"), F.lit(PARTS)).cast("int")
+    met = windows.withColumn("part", part).join(followed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["fp", "part"])
     places = met.groupBy("content", "fp").agg(F.min(F.struct(*KEYS, "first")).alias("source"), F.max(F.struct(*KEYS, "first")).alias("last")).where("source <> last")
     again = windows.join(places.select("fp", "content", "source"), ["fp", "content"])
-    return again.where(F.struct(*KEYS, "first") > F.col("source")).select(*KEYS, "first", "size")
+    return again.where(F.struct(*KEYS, "first") > F.col("source")).select(*KEYS, "at")
 
 
 def _windows_of(words: int) -> Column:
@@ -96,10 +101,8 @@ def drop_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() != "n_removed"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    spans = repeated_windows(docs, words).groupBy(*KEYS).agg(F.collect_list(F.struct("first", "size")).alias("spans"))
-    both = rows.join(spans, same_row(rows, spans, KEYS), "left").select("row", "text", "spans")
-    gone = let(_sequence(F.col("text")), lambda lines: F.array_distinct(F.flatten(F.transform("spans", lambda s: F.transform(F.slice(lines, s["first"] + 1, s["size"]), lambda x: x["at"])))))
-    marked = both.withColumn("gone", F.when(F.col("spans").isNotNull(), gone))
+    spans = repeated_windows(docs, words).groupBy(*KEYS).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    marked = rows.join(spans, same_row(rows, spans, KEYS), "left").select("row", "text", "gone")
     rest = let(_lines(F.col("text")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
     fields = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
