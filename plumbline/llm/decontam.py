@@ -41,15 +41,16 @@ class _Codes(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes, self.kinds = [], []
+        self.hashes, self.kinds = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
         kind = STOP if token[0] in ".!?\n" else NUMBER if token[0].isdecimal() else NAME if token[0] != low[0] else UNIT if low in UNITS else WORD
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.kinds.append(kind)
-        self[token] = len(self.kinds) - 1
-        return self[token]
+        at = self[token] = len(self)
+        if at == len(self.kinds):
+            self.hashes, self.kinds = np.resize(self.hashes, 2 * at), np.resize(self.kinds, 2 * at)
+        self.hashes[at], self.kinds[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), kind
+        return at
 
 
 class Templates:
@@ -64,7 +65,7 @@ class Templates:
             self.codes = _Codes()
         tokens = TOKENS.findall(text)
         at = np.array([self.codes[t] for t in tokens], np.int64)
-        kind = np.array(self.codes.kinds, np.int8)[at] if len(at) else np.zeros(0, np.int8)
+        kind = self.codes.kinds[at]
         keep = np.flatnonzero(kind != STOP)
         if len(keep) < self.words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, bool)
@@ -73,7 +74,7 @@ class Templates:
         after_number = np.concatenate([[False], kind[:-1] == NUMBER])
         kind = np.where((kind == NAME) & first | (kind == UNIT) & ~after_number, WORD, kind)
         slot = kind != WORD
-        value = np.where(slot, PLACEHOLDERS[kind], np.array(self.codes.hashes, np.uint64)[at])
+        value = np.where(slot, PLACEHOLDERS[kind], self.codes.hashes[at])
         n = len(value) - self.words + 1
         made, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         with np.errstate(over="ignore"):
