@@ -10,13 +10,15 @@ is a plain aggregate.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import slots_below, small
 from plumbline.llm.common import let, whole_text
 
-SAMPLES = 32
+SAMPLES = 16
 LOW = (1 << 32) - 1
 EMPTY = "none"  # the fingerprint of a text without words
 BUCKETS = 4  # ranges of ids, for each shuffle partition
@@ -37,15 +39,18 @@ def terms(text: Column) -> Column:
 
 
 def sample(x: Column, log_weight: Column, k: int) -> Column:
-    """Sample ``k`` of a term as a long whose minimum over the terms is the document's sample."""
-    one, two = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
-    unit = lambda bits, shift, width: (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + 0.5) / float(1 << width)
-    r = -F.log(unit(one, 0, 24) * unit(one, 24, 24))
-    c = -F.log(unit(two, 0, 24) * unit(two, 24, 24))
-    b = unit(one, 48, 16)
+    """Sample ``k`` of a term as a long whose minimum over the terms is the document's sample.
+
+    The five uniforms are parts of one hash of (x, k): 11 bits each for r, 15 each for c, 12 for b, at the middle of their steps.
+    """
+    drawn = F.xxhash64(x, F.lit(k))
+    part = lambda shift, width: F.shiftrightunsigned(drawn, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5
+    r = F.lit(22 * math.log(2)) - F.log(part(0, 11) * part(11, 11))
+    c = F.lit(30 * math.log(2)) - F.log(part(22, 15) * part(37, 15))
+    b = part(52, 12) * 2.0**-12
     t = F.floor(log_weight / r + b)
-    least = F.log(c) - r * (t - b + 1)
-    return F.shiftleft(((least + 64) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.xxhash64(x, t).bitwiseAND(F.lit(LOW)))
+    least = F.log(c) - r * (t - b + 1.0)
+    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(x.bitwiseXOR(F.shiftleft(t, 24)).bitwiseAND(F.lit(LOW)))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:

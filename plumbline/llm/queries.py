@@ -92,9 +92,9 @@ SQL = {
     "op4_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-bare AS (SELECT *, trim(translate(line, concat(chr(9), chr(13), chr(11), chr(12)), '    ')) AS b FROM lines),
+bare AS (SELECT *, trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12))) AS b FROM lines),
 docs AS (
-  SELECT doc_id, list(b ORDER BY pos) AS bs, list(len(string_split_regex(b, ' +')) ORDER BY pos) AS ns, list(pos ORDER BY pos) AS poss FROM bare WHERE b <> '' GROUP BY doc_id),
+  SELECT doc_id, list(b ORDER BY pos) AS bs, list(length(b) - length(replace(b, ' ', '')) + 1 ORDER BY pos) AS ns, list(pos ORDER BY pos) AS poss FROM bare WHERE b <> '' GROUP BY doc_id),
 starts AS (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM docs),
 sizes AS (
   SELECT *, list_filter(range(1, 11), lambda k: i + k - 1 <= len(ns) AND list_sum(ns[i:i + k - 1]) >= 10)[1] AS f,
