@@ -70,6 +70,10 @@ def _windows(lines: Column, words: int) -> Column:
     return F.filter(F.concat(every(forward), every(backward)), lambda w: w.isNotNull())
 
 
+def _for_each_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, h, at): places of the lines of windows whose content occurs at an earlier place.
 
@@ -80,11 +84,11 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     windows = stored(found)
     marks = windows.groupBy("fp").agg(F.min(F.struct(*KEYS, "spot")).alias("low"), F.max(F.struct(*KEYS, "spot")).alias("high"))
     followed = marks.where("low <> high").select("fp")
-    # a fingerprint that very many places have is dealt over PARTS, each with its own row of ``followed``
-    part = F.pmod(F.xxhash64(*KEYS, "first"), F.lit(PARTS)).cast("int")
-    met = windows.withColumn("part", part).join(followed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["fp", "part"])
+    # what very many places have is dealt over PARTS, each with its own row of the other side
+    dealt = windows.withColumn("part", F.pmod(F.xxhash64(*KEYS, "first"), F.lit(PARTS)).cast("int"))
+    met = dealt.join(_for_each_part(followed), ["fp", "part"])
     places = met.groupBy("content", "fp").agg(F.min(F.struct(*KEYS, "first")).alias("source"), F.max(F.struct(*KEYS, "first")).alias("last")).where("source <> last")
-    again = windows.join(places.select("fp", "content", "source"), ["fp", "content"])
+    again = dealt.join(_for_each_part(places.select("fp", "content", "source")), ["fp", "content", "part"])
     return again.where(F.struct(*KEYS, "first") > F.col("source")).select(*KEYS, "at")
 
 
