@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.expressions import slots_below, small
 from plumbline.llm.common import let, whole_text
 
-SAMPLES = 24
+SAMPLES = 16
 LOW = (1 << 32) - 1
 EMPTY = "none"  # the fingerprint of a text without words
 BUCKETS = 4  # ranges of ids, for each shuffle partition
