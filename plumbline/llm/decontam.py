@@ -28,7 +28,7 @@ KEYS_HELD = 4_000_000  # benchmark windows that a task holds at once; a larger b
 TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]+")
 UNITS = frozenset(
     "mm cm m km kg g mg t l ml s h min kwh w kw v a hz mb gb tb mph kmh inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
-    "gram grams kilogram kilograms pound pounds ounce ounces litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years percent "
+    "gram grams kilogram kilograms lb lbs oz pound pounds ounce ounces litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years percent "
     "degree degrees dollar dollars euro euros cent cents".split()
 )
 WORD, NUMBER, NAME, UNIT, STOP = range(5)
