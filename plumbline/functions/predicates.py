@@ -39,7 +39,7 @@ def literal(text: str) -> str:
         elif " " <= ch <= "~":
             out.append(ch)
         else:
-            out.append(f"\\u{ord(ch):04x}")
+            out.append(f"\\u{ord(ch):04x}" if ord(ch) < 0x10000 else f"\\U{ord(ch):08x}")
     return "'" + "".join(out) + "'"
 
 

@@ -39,15 +39,24 @@ def labelled(rows: DataFrame, threshold: float = 0.0) -> DataFrame:
     )
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson over the rows with both; null, not an error, where one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_1, column_2, correlation) of all pairs in one aggregate; a pair skips rows with a null."""
+    """(column_1, column_2, correlation) of all pairs in one aggregate; a pair skips rows with a null. A constant column has none (null)."""
     pairs = _pairs(df, columns)
+    names = list(dict.fromkeys(x for p in pairs for x in p))
+    ends = [f(_number(df, x)).alias(f"{tag}{i}") for i, x in enumerate(names) for tag, f in (("low", F.min), ("high", F.max))]
+    varies = {x: c(f"low{i}") < c(f"high{i}") for i, x in enumerate(names)}
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[start:start + PAIRS_PER_SCAN]
-        row = df.agg(*[F.corr(_number(df, a), _number(df, b)).alias(str(i)) for i, (a, b) in enumerate(chunk)])
+        row = df.agg(*[_correlation(_number(df, a), _number(df, b)).alias(str(i)) for i, (a, b) in enumerate(chunk)], *ends)
         parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(str(i)).alias("correlation"))
+            F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.when(varies[a] & varies[b], F.col(str(i))).alias("correlation"))
             for i, (a, b) in enumerate(chunk)
         ])).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)
@@ -85,7 +94,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     totals = joint.groupBy("pair").agg(((F.sum("n") + 1) / 2.0).alias("center"))
     dx, dy, n = c("rx") - c("center"), c("ry") - c("center"), c("n")
     out = rows.join(small(totals), "pair").groupBy("pair").agg(
-        (F.sum(n * dx * dy) / F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy))).alias("correlation")
+        F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy))).alias("correlation")
     )
     return _named(out, pairs)
 
@@ -140,5 +149,5 @@ def kendall(df: DataFrame, first: str, second: str, slices: int | None = None) -
         ties(_marginal(joint, "y"), "t").scalar().alias("n2"), ties(joint, "t").scalar().alias("n3"),
     ).select(
         F.lit(first).alias("column_1"), F.lit(second).alias("column_2"),
-        ((c("n0") - c("n1") - c("n2") + c("n3") - 2 * c("d")) / F.sqrt((c("n0") - c("n1")) * (c("n0") - c("n2")))).alias("correlation"),
+        F.try_divide(c("n0") - c("n1") - c("n2") + c("n3") - 2 * c("d"), F.sqrt((c("n0") - c("n1")) * (c("n0") - c("n2")))).alias("correlation"),
     )

@@ -7,6 +7,7 @@ is a function of that table, so the rows are read once and a hot value is one ro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,7 @@ from plumbline.operators.ordering import cumulative, quantiles
 
 c = F.col
 EPSILON = 1e-10
+NOT_TESTED = "not enough rows"  # a side without values
 
 
 def shared_columns(reference: DataFrame, current: DataFrame, numeric: bool | None = None) -> list[str]:
@@ -51,10 +53,10 @@ def kolmogorov_smirnov(pairs: DataFrame) -> DataFrame:
     """(column, statistic, p_value, total_ref, total_cur): largest gap of the two distribution functions."""
     ordered = cumulative(pairs, ["column"], "number", ["n_ref", "n_cur"]).join(small(_totals(pairs)), "column")
     gap = F.abs(
-        (c("n_ref_before") + c("n_ref")) / c("total_ref") - (c("n_cur_before") + c("n_cur")) / c("total_cur")
+        F.try_divide(c("n_ref_before") + c("n_ref"), c("total_ref")) - F.try_divide(c("n_cur_before") + c("n_cur"), c("total_cur"))
     )
     rows = ordered.groupBy("column", "total_ref", "total_cur").agg(F.max(gap).alias("statistic"))
-    return rows.withColumn("p_value", pvalues.kolmogorov(c("statistic"), c("total_ref"), c("total_cur")))
+    return rows.withColumn("p_value", F.when(c("statistic").isNotNull(), pvalues.kolmogorov(c("statistic"), c("total_ref"), c("total_cur"))))
 
 
 def reference_edges(pairs: DataFrame, bins: int = 10) -> DataFrame:
@@ -84,7 +86,7 @@ def binned(pairs: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
 
 def psi_from_bins(bins: DataFrame, totals: DataFrame) -> DataFrame:
     rows = bins.join(small(totals), "column")
-    r, q = c("n_ref") / c("total_ref") + EPSILON, c("n_cur") / c("total_cur") + EPSILON
+    r, q = F.try_divide("n_ref", "total_ref") + EPSILON, F.try_divide("n_cur", "total_cur") + EPSILON
     return rows.groupBy("column").agg(F.sum((q - r) * F.log(q / r)).alias("psi"))
 
 
@@ -110,10 +112,11 @@ def category_severity(p_value: Column, alpha: float = 0.05) -> Column:
 
 def numeric_drift(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(column, test_used, statistic, p_value, psi, drift_score, severity, has_drift) of numeric columns."""
-    rows = kolmogorov_smirnov(pairs).join(small(population_stability(pairs)), "column")
-    severity = numeric_severity(c("p_value"), c("psi"), alpha)
+    rows = kolmogorov_smirnov(pairs).join(small(population_stability(pairs)), "column", "left")
+    tested = c("p_value").isNotNull() & c("psi").isNotNull()
+    severity = F.when(tested, numeric_severity(c("p_value"), c("psi"), alpha)).otherwise("none")
     return rows.select(
-        "column", F.lit("KS-test + PSI").alias("test_used"), "statistic", "p_value", "psi",
+        "column", F.when(tested, "KS-test + PSI").otherwise(NOT_TESTED).alias("test_used"), "statistic", "p_value", "psi",
         F.least(F.lit(1.0), c("psi") / PSI_LEVELS[2]).alias("drift_score"), severity.alias("severity"),
         (severity != "none").alias("has_drift"), c("total_ref"), c("total_cur"),
     )
@@ -132,18 +135,19 @@ def chi_squared(pairs: DataFrame, on_shares: bool = False) -> DataFrame:
         both = c("n_ref") + c("n_cur")
         everything = c("total_ref") + c("total_cur")
         e_ref, e_cur = both * c("total_ref") / everything, both * c("total_cur") / everything
-        term = (c("n_ref") - e_ref) * (c("n_ref") - e_ref) / e_ref + (c("n_cur") - e_cur) * (c("n_cur") - e_cur) / e_cur
+        term = F.try_divide((c("n_ref") - e_ref) * (c("n_ref") - e_ref), e_ref) + F.try_divide((c("n_cur") - e_cur) * (c("n_cur") - e_cur), e_cur)
     out = rows.groupBy("column", "total_ref", "total_cur").agg(
         F.sum(term).alias("statistic"), (F.count(F.lit(1)) - 1).cast("double").alias("freedom")
     )
-    p = F.when(c("freedom") <= 0, 1.0).otherwise(pvalues.chi_squared(c("statistic"), c("freedom")))
+    p = F.when(c("statistic").isNull() | (c("total_ref") == 0) | (c("total_cur") == 0), None).when(c("freedom") <= 0, 1.0).otherwise(pvalues.chi_squared(c("statistic"), c("freedom")))
     return out.withColumn("p_value", p)
 
 
 def categorical_drift(pairs: DataFrame, alpha: float = 0.05, on_shares: bool = False) -> DataFrame:
-    severity = category_severity(c("p_value"), alpha)
+    tested = c("p_value").isNotNull()
+    severity = F.when(tested, category_severity(c("p_value"), alpha)).otherwise("none")
     return chi_squared(pairs, on_shares).select(
-        "column", F.lit("Chi-squared").alias("test_used"), "statistic", "p_value", F.lit(None).cast("double").alias("psi"),
+        "column", F.when(tested, "Chi-squared").otherwise(NOT_TESTED).alias("test_used"), "statistic", "p_value", F.lit(None).cast("double").alias("psi"),
         F.least(F.lit(1.0), c("statistic") / 100.0).alias("drift_score"), severity.alias("severity"),
         (severity != "none").alias("has_drift"), "total_ref", "total_cur",
     )
@@ -153,16 +157,19 @@ def detect_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str
                  alpha: float = 0.05, min_rows: int = 30) -> DataFrame:
     """Drift of every shared column: KS and PSI for numbers, chi-squared for the rest."""
     columns = list(columns or shared_columns(reference, current))
-    numbers = [x for x in columns if P.is_numeric(reference.schema[x].dataType)]
-    others = [x for x in columns if x not in numbers]
-    parts = []
+    turned = [x for x in columns if P.is_numeric(reference.schema[x].dataType) != P.is_numeric(current.schema[x].dataType)]
+    numbers = [x for x in columns if x not in turned and P.is_numeric(reference.schema[x].dataType)]
+    others = [x for x in columns if x not in turned and x not in numbers]
+    parts = [_named_only(reference, turned, "type change", 1.0, "critical", True)]
     if numbers:
         parts.append(numeric_drift(paired_frequencies(reference, current, numbers), alpha))
     if others:
         parts.append(categorical_drift(paired_frequencies(reference, current, others), alpha))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    seen = reduce(DataFrame.unionByName, parts)
+    every = _named_only(reference, numbers + others, NOT_TESTED, 0.0, "none", False)
+    out = seen.unionByName(every.join(small(seen.select("column")), "column", "left_anti"))  # a column that is null on both sides
     # columns with too few values on a side are reported without a verdict
-    enough = (c("total_ref") >= min_rows) & (c("total_cur") >= min_rows)
+    enough = (c("test_used") == "type change") | (c("total_ref") >= min_rows) & (c("total_cur") >= min_rows)
     return out.withColumns({
         "severity": F.when(enough, c("severity")).otherwise("none"), "has_drift": enough & c("has_drift"),
         "test_used": F.when(enough, c("test_used")).otherwise("not enough rows"),
@@ -170,6 +177,12 @@ def detect_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str
     })
 
 
+def _named_only(df: DataFrame, columns: Sequence[str], test_used: str, score: float, severity: str, has_drift: bool) -> DataFrame:
+    """A result row for each of ``columns`` without statistics."""
+    schema = "column string, test_used string, statistic double, p_value double, psi double, drift_score double, severity string, has_drift boolean, total_ref bigint, total_cur bigint"
+    return df.sparkSession.createDataFrame([(x, test_used, None, None, None, score, severity, has_drift, 0, 0) for x in columns], schema)
+
+
 def drift_summary(results: DataFrame) -> DataFrame:
     worst = F.max_by("column", F.struct("drift_score", "column"))
     levels = [F.count(F.when(c("severity") == s, 1)).alias(f"n_{s}") for s in ("none", "low", "medium", "high", "critical")]
@@ -232,7 +245,7 @@ def category_shares(pairs: DataFrame) -> DataFrame:
     """(column, category, n_ref, n_cur, reference, current, change): aligned category frequencies."""
     value = F.coalesce(c("text"), c("number").cast("string"))
     rows = pairs.join(small(_totals(pairs)), "column")
-    ref, cur = c("n_ref") / c("total_ref"), c("n_cur") / c("total_cur")
+    ref, cur = F.try_divide("n_ref", "total_ref"), F.try_divide("n_cur", "total_cur")  # null for a side without values
     return rows.select(
         "column", value.alias("category"), "n_ref", "n_cur", ref.alias("reference"), cur.alias("current"), (cur - ref).alias("change")
     )

@@ -115,10 +115,11 @@ def sample_values(df: DataFrame, key: Sequence[str], columns: Sequence[str] | No
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint: schema digest, row count and sums of two row hashes."""
+    """Order-independent fingerprint: schema digest, row count and sums of two row hashes, which see where a row has nulls."""
     columns = plain_columns(df)
     schema = "|".join(f"{n}:{t}" for n, t in sorted(df.select(*columns).dtypes))
     cols = [F.col(f"`{c}`") for c in columns]
+    cols.append(F.array(*[x.isNull() for x in cols]))  # a hash passes over nulls
     return df.agg(
         F.lit(hashlib.md5(schema.encode()).hexdigest()).alias("schema_hash"),
         F.count(F.lit(1)).alias("row_count"),

@@ -139,9 +139,9 @@ def high_cardinality(counts: DataFrame, limit: int = 1000) -> DataFrame:
 def beyond_deviations(df: DataFrame, column: str, key: Sequence[str], limit: float = 3.0) -> DataFrame:
     """Rows more than ``limit`` standard deviations from the mean, with their z-score."""
     x = P.col(P.as_double(column, df.schema[column].dataType))
-    stats = df.agg(F.struct(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias("s")).scalar()
+    stats = df.agg(F.struct(F.avg(x).alias("mean"), F.when(F.min(x) < F.max(x), F.stddev_samp(x)).alias("std")).alias("s")).scalar()
     rows = df.select(*key, x.alias("value")).where(c("value").isNotNull()).withColumn("_s", stats)
-    z = (c("value") - c("_s.mean")) / c("_s.std")
+    z = F.try_divide(c("value") - c("_s.mean"), c("_s.std"))  # null in a constant column
     return rows.where(F.abs(z) > limit).select(*key, "value", z.alias("z_score"))
 
 
@@ -194,13 +194,15 @@ ROW_KINDS = {
 
 
 def bind_rules(rules: DataFrame, bindings: dict[str, list[str]], **params: str) -> dict[str, tuple[Column, str, str]]:
-    """Row predicates of the active rules with a row kind, for ``predicate_issues``.
+    """Row predicates of the active rules with a row kind, for ``predicate_issues``; another kind that is bound is an error.
 
     ``bindings`` names the columns of each rule id; ``params`` are added to the rule's own. A rule of
     kind 'expression' holds SQL that is true on good rows. The rules are a table of parameters.
     """
     out = {}
-    for r in active_rules(rules).where(c("kind").isin(list(ROW_KINDS))).collect():
+    for r in active_rules(rules).collect():
+        if r["rule_id"] in bindings and r["kind"] not in ROW_KINDS:
+            raise ValueError(f"rule '{r['rule_id']}' of kind '{r['kind']}' judges no single rows; row kinds are {', '.join(ROW_KINDS)}")
         for column in bindings.get(r["rule_id"], []):
             predicate = ROW_KINDS[r["kind"]](column, {**(r["params"] or {}), **params})
             out[f"{r['rule_id']}:{column}"] = (predicate, r["severity"], column)

@@ -23,8 +23,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is named, a local one (tests)."""
+    """The cluster's shared checkpoint folder; a local one only where none is named and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,19 @@ def read_any_csv(spark: SparkSession, path: str, schema: T.StructType | str | No
     return read_csv(spark, path, schema, **sniff_csv(spark, path))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def is_json_document(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is one document over many lines: its first line that is not blank is no JSON value by itself."""
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    try:
+        return line is not None and json.loads(line["value"]) is None
+    except ValueError:
+        return True
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, document: bool | None = None) -> DataFrame:
+    """JSON lines, or with ``document`` files that are one JSON document each; by default the file shows which it is."""
+    whole = is_json_document(spark, path) if document is None else document
+    reader = spark.read.option("multiLine", whole)
     return reader.schema(schema).json(path) if schema is not None else reader.json(path)
 
 
