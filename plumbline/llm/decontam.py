@@ -59,16 +59,16 @@ class Templates:
     def __init__(self, words: int = WORDS):
         self.words, self.codes = words, _Codes()
 
-    def __call__(self, text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Windows' places and hashes, all tokens, and which of them are slots. ``inside``: the text starts within a sentence."""
+    def __call__(self, text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
+        """Windows' places and hashes, tokens with the places of those that count, and which of these are slots. ``inside``: the text starts within a sentence."""
         if len(self.codes) > TOKENS_HELD:
             self.codes = _Codes()
         tokens = TOKENS.findall(text)
-        at = np.array([self.codes[t] for t in tokens], np.int64)
+        at = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
         kind = self.codes.kinds[at]
         keep = np.flatnonzero(kind != STOP)
         if len(keep) < self.words:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), ([], keep), np.zeros(0, bool)
         first = np.concatenate([[not inside], kind[:-1] == STOP])[keep]
         kind, at = kind[keep], at[keep]
         after_number = np.concatenate([[False], kind[:-1] == NUMBER])
@@ -83,11 +83,11 @@ class Templates:
                 made ^= made >> np.uint64(29)
                 literal += ~slot[j : j + n]
         places = np.flatnonzero(literal >= LEAST_LITERAL)
-        return places, made[places], [tokens[i] for i in keep], slot
+        return places, made[places], (tokens, keep), slot
 
 
-def _slots(tokens: list[str], slot: np.ndarray, place: int, words: int) -> list[str]:
-    return [tokens[i].lower() for i in range(place, place + words) if slot[i]]
+def _slots(tokens: tuple, slot: np.ndarray, place: int, words: int) -> list[str]:
+    return [tokens[0][tokens[1][i]].lower() for i in range(place, place + words) if slot[i]]
 
 
 def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
