@@ -219,18 +219,30 @@ def column_issues(df: DataFrame, checks: Sequence[str] = STANDARD, columns: Sequ
 
 # Table checks
 
+LONG_TEXT = 64
+
 def repeated_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(columns..., n) of the rows that occur more than once.
 
-    A first pass counts 8-byte row hashes; only rows whose hash repeats are compared as a whole, so
-    the table itself is not shuffled. Equal hashes of different rows are told apart by that second
-    step. Nulls equal each other.
+    One count by all columns, combined before the shuffle, so a row with very many copies crosses it
+    once per task. Texts over LONG_TEXT bytes are grouped by their SHA-256 and read back only by
+    callers who ask for them. Nulls equal each other.
     """
     columns = list(columns or plain_columns(df))
-    row_hash = F.xxhash64(*[F.col(f"`{x}`") for x in columns])
-    twice = df.groupBy(row_hash.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
-    candidates = df.select(*[F.col(f"`{x}`") for x in columns], row_hash.alias("_h")).join(twice, "_h", "left_semi")
-    return candidates.groupBy(*[f"`{x}`" for x in columns]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    types = dict(df.dtypes)
+    cells, values = [], []
+    for i, x in enumerate(columns):
+        cell = F.col(f"`{x}`")
+        if types[x] == "string":
+            # one character longer than LONG_TEXT, so never equal to a text that stays as it is
+            cells.append(F.when(F.octet_length(cell) > LONG_TEXT, F.concat(F.sha2(cell, 256), F.lit("#"))).otherwise(cell).alias(f"_c{i}"))
+            values.append(F.first(cell).alias(x))
+        else:
+            cells.append(cell.alias(f"_c{i}"))
+            values.append(F.col(f"_c{i}").alias(x))
+    texts = [v for x, v in zip(columns, values, strict=True) if types[x] == "string"]
+    counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"), *texts).where("n > 1")
+    return counted.select(*[F.col(f"`{x}`") if types[x] == "string" else v for x, v in zip(columns, values, strict=True)], "n")
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -18,7 +18,6 @@ CONFIDENCE_FLOOR, CONFIDENCE_CEILING = 0.5, 0.99
 FALSE_POSITIVE_STEP, CONFIRMATION_STEP = 0.05, 0.02
 TOLERATED_FALSE_POSITIVES = 5
 FOLD = 10_000  # longest run composed by one task
-FOLD_LEVELS = 3  # FOLD ** FOLD_LEVELS events in all
 
 
 def _count(condition: Column) -> Column:
@@ -88,10 +87,14 @@ def confidence_fold(feedback: DataFrame, check: str = "target_type") -> DataFram
         F.when(c("ok"), CONFIRMATION_STEP).otherwise(-FALSE_POSITIVE_STEP).alias("shift"),
         F.when(c("ok"), -infinite).otherwise(CONFIDENCE_FLOOR).alias("lo"), F.when(c("ok"), CONFIDENCE_CEILING).otherwise(infinite).alias("hi"),
     ).alias("f"))
-    for _ in range(FOLD_LEVELS):
+    longest = level.agg(F.max("at")).first()[0] or 0
+    while True:  # until each check has one run left
         level = level.groupBy("check_type", F.floor(c("at") / FOLD).alias("run")).agg(
             F.array_sort(F.collect_list(F.struct("at", "f"))).alias("steps")  # at most FOLD entries
         ).select("check_type", c("run").alias("at"), _composed(c("steps")).alias("f"))
+        longest //= FOLD
+        if not longest:
+            break
     ends = level.select("check_type", F.round(F.least(c("f.hi"), F.greatest(c("f.lo"), 1.0 + c("f.shift"))), 4).alias("confidence"))
     counts = events.groupBy("check_type").agg(_count(~c("ok")).alias("false_positives"), _count(c("ok")).alias("confirmations"))
     return counts.join(ends, "check_type", "left").select(

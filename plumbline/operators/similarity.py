@@ -51,6 +51,8 @@ def text_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_text:
 
 QUERY_BLOCK = 2048
 CORPUS_SLICE = 50_000
+SLICE_BYTES = 64 << 20  # vectors of a block or slice, as doubles
+PRODUCT_BYTES = 32 << 20  # similarities held at once
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, item_id: str, item_vector: str, k: int = 5) -> DataFrame:
@@ -58,10 +60,14 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec
 
     Exact, for sides of any size: queries are cut into blocks and the corpus into slices, and each
     task multiplies one block with one slice and keeps k items per query. What leaves a task is
-    ``k * QUERY_BLOCK`` rows, never the pairs.
+    ``k * QUERY_BLOCK`` rows, never the pairs. Blocks and slices are bounded in rows and in bytes,
+    and a task multiplies a few queries at a time.
     """
-    n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    n_slices = max(1, math.ceil(corpus.count() / CORPUS_SLICE))
+    def cuts(rows: DataFrame, vector: str, most: int) -> int:
+        n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+        return max(1, math.ceil(n / max(1, min(most, SLICE_BYTES // (8 * max(1, width))))))
+
+    n_blocks, n_slices = cuts(queries, query_vector, QUERY_BLOCK), cuts(corpus, item_vector, CORPUS_SLICE)
     q = queries.select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
     d = corpus.select(F.col(item_id).alias("id"), F.col(item_vector).cast("array<double>").alias("v"))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
@@ -78,14 +84,18 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "d": [], "similarity": []})
         right = right.sort_values("id", kind="stable")
-        scores = unit(left["v"]) @ unit(right["v"]).T
+        asked, items = unit(left["v"]), unit(right["v"]).T
         take = min(k, len(right))
-        # stable: ties keep the ascending id
-        order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :take]
-        rows = np.repeat(np.arange(len(left)), take)
-        cols = order.ravel()
+        step = max(1, PRODUCT_BYTES // (8 * len(right)))
+        cols, similarity = [], []
+        for lo in range(0, len(left), step):
+            scores = asked[lo:lo + step] @ items
+            # stable: ties keep the ascending id
+            order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :take]
+            cols.append(order.ravel())
+            similarity.append(np.take_along_axis(scores, order, axis=1).ravel())
         return pd.DataFrame({
-            "q": left["id"].to_numpy()[rows], "d": right["id"].to_numpy()[cols], "similarity": scores[rows, cols],
+            "q": np.repeat(left["id"].to_numpy(), take), "d": right["id"].to_numpy()[np.concatenate(cols)], "similarity": np.concatenate(similarity),
         })
 
     kinds = dict(q.dtypes)["id"], dict(d.dtypes)["id"]
