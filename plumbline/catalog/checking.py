@@ -307,11 +307,12 @@ def orphan_keys(spark, folder):
 NEAR = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
 
-@query("""WITH r AS (SELECT l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, count(*) AS copies FROM lineitem GROUP BY ALL),
-  g AS (SELECT l_suppkey, l_quantity AS a, l_discount AS b, l_tax AS c, NULL AS d, sum(copies) AS n FROM r GROUP BY ALL UNION ALL SELECT l_suppkey, l_quantity, l_discount, NULL, l_returnflag, sum(copies) FROM r GROUP BY ALL
-    UNION ALL SELECT l_suppkey, l_quantity, NULL, l_tax, l_returnflag, sum(copies) FROM r GROUP BY ALL UNION ALL SELECT l_suppkey, NULL, l_discount, l_tax, l_returnflag, sum(copies) FROM r GROUP BY ALL)
-  SELECT r.l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, copies, CAST(max(n) - 1 AS BIGINT) AS partners FROM r JOIN g ON g.l_suppkey = r.l_suppkey AND
-    (g.a IS NULL OR g.a = l_quantity) AND (g.b IS NULL OR g.b = l_discount) AND (g.c IS NULL OR g.c = l_tax) AND (g.d IS NULL OR g.d = l_returnflag) WHERE n > 1 GROUP BY ALL""")
+@query("""
+  WITH r AS (SELECT l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, count(*) AS copies FROM lineitem GROUP BY ALL)
+  SELECT a.l_suppkey, a.l_quantity, a.l_discount, a.l_tax, a.l_returnflag, a.copies, CAST(sum(b.copies) - 1 AS BIGINT) AS partners
+  FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey
+    AND (a.l_quantity = b.l_quantity)::INT + (a.l_discount = b.l_discount)::INT + (a.l_tax = b.l_tax)::INT + (a.l_returnflag = b.l_returnflag)::INT >= 3
+  GROUP BY a.l_suppkey, a.l_quantity, a.l_discount, a.l_tax, a.l_returnflag, a.copies HAVING sum(b.copies) > 1""")
 def near_duplicate_rows(spark, folder):
     """Order lines of one supplier that agree on three of four columns."""
     return rules.near_duplicates(table(spark, folder, "lineitem"), ["l_suppkey"], NEAR, 0.75)

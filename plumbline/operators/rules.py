@@ -154,35 +154,51 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
 
 
-def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str], ratio: float = 0.9) -> DataFrame:
-    """Distinct rows (block and compared columns) with ``copies`` and the number of ``partners``.
+MOST_SUBSETS = 1000  # signatures of a row that near_duplicates makes; more are refused
+
 
-    A partner is a row of the same block that agrees on at least ``ratio`` of the compared columns.
-    Two rows that agree on k of m columns agree on some subset of k columns, so rows are grouped once
-    per subset of that size and never paired. ``partners`` is the largest such group, less the row.
-    Exact copies are folded first, and the rows of a large group are spread over several tasks.
+def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str], ratio: float = 0.9) -> DataFrame:
+    """Distinct rows (block and compared columns) with ``copies`` and the number of ``partners``, if they have any.
+
+    A partner is another row of the same block that agrees on at least ``ratio`` of the compared columns, null
+    agreeing with null; copies of the row count too. Rows are grouped by the values of each subset of at least that
+    many columns and never paired. A partner that agrees on j columns is met in several subsets, so the group sizes
+    are added with the signs and weights of inclusion-exclusion, (-1)^(k - least) * C(k - 1, least - 1) for a subset
+    of k columns, which counts each partner once. Exact copies are folded first, and the rows of a large group are
+    spread over several tasks. Too many subsets (MOST_SUBSETS) are an error before anything runs.
     """
     m = len(compare)
-    keep = math.ceil(ratio * m - 1e-9)
+    least = math.ceil(ratio * m - 1e-9)
+    if not 1 <= least <= m:
+        raise ValueError("the ratio must ask for at least one of the compared columns and at most all")
+    if (made := sum(math.comb(m, k) for k in range(least, m + 1))) > MOST_SUBSETS:
+        raise ValueError(f"{m} columns at {ratio} make {made} subsets a row, over {MOST_SUBSETS}: compare fewer columns or raise the ratio")
     columns = [*block, *compare]
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
     # a signature is the block, the subset's number and its values, as JSON: equal text, equal values
+    subsets = [s for k in range(least, m + 1) for s in itertools.combinations(range(m), k)]
     signatures = F.array(*[
-        F.to_json(F.struct(*block, F.lit(i).alias("_subset"), *[compare[k] for k in subset]))
-        for i, subset in enumerate(itertools.combinations(range(m), keep))
+        F.struct(F.to_json(F.struct(*block, F.lit(i).alias("_subset"), *[compare[k] for k in subset])).alias("sig"),
+                 F.lit((-1) ** (len(subset) - least) * math.comb(len(subset) - 1, least - 1)).cast("long").alias("weight"))
+        for i, subset in enumerate(subsets)
     ])
-    signed = rows.select(*columns, "copies", F.explode(signatures).alias("sig"))
+    signed = rows.select(*columns, "copies", F.explode(signatures).alias("_s")).select(*columns, "copies", "_s.sig", "_s.weight")
     groups = signed.groupBy("sig").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("fan"))
-    shared = groups.where("rows > 1")
+    shared = groups.where("rows > 1")  # the weights of a row add up to 1, which is the row itself; a group of one adds nothing
     found = join_spread(signed, shared.select("sig", "rows"), ["sig"], hot_keys(groups.select("sig", "fan"), ["sig"], "fan"), columns)
-    return found.groupBy(*columns, "copies").agg((F.max("rows") - 1).alias("partners"))
+    return found.groupBy(*columns, "copies").agg(F.sum(F.col("weight") * (F.col("rows") - 1)).alias("partners"))
 
 
 # Executable rules: a rule row with ``kind`` and ``params``, bound to columns by the caller.
 
+def _number(column: str) -> Column:
+    """A column of numbers or of text as double; text that is no number is null and breaks no limit."""
+    return P.col(P.to_number(f"cast({P.quoted(column)} as string)"))
+
+
 ROW_KINDS = {
-    "min": lambda col, p: F.col(col) < float(p["limit"]),
-    "range": lambda col, p: ~F.col(col).between(float(p["low"]), float(p["high"])),
+    "min": lambda col, p: _number(col) < float(p["limit"]),
+    "range": lambda col, p: ~_number(col).between(float(p["low"]), float(p["high"])),
     "format": lambda col, p: ~P.col(P.has_format(P.quoted(col), p["format"])),
     "phone_characters": lambda col, p: bad_phone_characters(col),
     "date_order": lambda col, p: ends_before_start(p["start"], col),

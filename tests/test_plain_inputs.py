@@ -59,3 +59,30 @@ def test_rule_of_an_unknown_kind_is_an_error(spark):
     table = spark.createDataFrame([("r1", "t", "constraint", "low", "general", True, "cardinality", None)], "rule_id string, text string, rule_type string, severity string, category string, active boolean, kind string, params map<string,string>")
     with pytest.raises(ValueError, match="cardinality"):
         rules.bind_rules(table, {"r1": ["x"]})
+
+
+def test_near_duplicates_count_every_partner_once(spark):
+    rows = [("a", "b", "c", "d"), ("a", "b", "c", "z"), ("y", "b", "c", "d"), ("q", "q", "q", "q"), ("n", None, "m", None), ("n", None, "m", "o"), ("n", None, "m", "o")]
+    table = spark.createDataFrame([(1, *r) for r in rows], "block int, p string, q string, r string, s string")
+    for ratio in (0.25, 0.5, 0.75, 1.0):
+        got = {tuple(r)[1:5]: r["partners"] for r in rules.near_duplicates(table, ["block"], ["p", "q", "r", "s"], ratio).collect()}
+        agreeing = {r: sum(sum(x == y for x, y in zip(r, o, strict=True)) >= 4 * ratio for o in rows) - 1 for r in rows}
+        assert got == {r: n for r, n in agreeing.items() if n}
+
+
+def test_near_duplicates_refuse_too_many_subsets(spark):
+    wide = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(50)])
+    with pytest.raises(ValueError, match="fewer columns"):
+        rules.near_duplicates(wide, [], wide.columns)
+    with pytest.raises(ValueError, match="at least one"):
+        rules.near_duplicates(wide, [], wide.columns[:3], 0.0)
+
+
+def test_limits_on_a_text_column(spark):
+    rule_rows = [("low", "t", "constraint", "low", "general", True, "min", {"limit": "0"}), ("band", "t", "constraint", "low", "general", True, "range", {"low": "-10", "high": "1e6"})]
+    table = spark.createDataFrame(rule_rows, "rule_id string, text string, rule_type string, severity string, category string, active boolean, kind string, params map<string,string>")
+    values = spark.createDataFrame([("abc", 1.0), ("-3", -3.0), ("-11", 1e300), (None, None), (" 7 ", -0.5)], "word string, x double")
+    for column, low, band in (("word", 2, 1), ("x", 2, 1)):
+        made = rules.bind_rules(table, {"low": [column], "band": [column]})
+        got = {r["rule_id"]: r["violations"] for r in rules.count_violations(values, {k: v[0] for k, v in made.items()}).collect()}
+        assert got == {f"low:{column}": low, f"band:{column}": band}
