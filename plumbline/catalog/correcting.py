@@ -8,7 +8,7 @@ from plumbline.catalog import query
 from plumbline.catalog.checking import MISSING_SQL, PSEUDO_SQL
 from plumbline.catalog.fixtures import CUSTOMERS, CUSTOMERS_SQL, FEEDBACK_SQL, ISSUES_SQL, SESSIONS_SQL, customers, feedback, issues, sessions, table, totals
 from plumbline.catalog.profiling import number, over, pseudo, stripped, union
-from plumbline.catalog.scoring import DATASET_SCORE_SQL, FEW_SQL, few
+from plumbline.catalog.scoring import DATASET_SCORE_SQL, FEW_SQL
 from plumbline.functions import constants as K
 from plumbline.operators import checks as C
 from plumbline.operators import corrections as R
@@ -147,13 +147,13 @@ def correction_plan(spark, folder):
 @query(f"""SELECT s.dataset_id, s.score, coalesce(auto, 0) AS auto, coalesce(manual, 0) AS manual, least(100.0, s.score + coalesce(gain, 0)) AS estimated_score FROM ({DATASET_SCORE_SQL}) s LEFT JOIN (
   SELECT dataset_id, count(*) FILTER (WHERE {AUTO}) AS auto, count(*) FILTER (WHERE NOT {AUTO}) AS manual, sum(CASE WHEN {AUTO} THEN CASE severity WHEN 'critical' THEN 15 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END ELSE 0 END) AS gain FROM ({FEW_SQL}) GROUP BY dataset_id) p USING (dataset_id)""")
 def estimated_scores(spark, folder):
-    found = few(spark, folder)
+    found = issues(spark, folder)
     return R.estimated_score(R.correction_plan(found), S.dataset_score(totals(spark, folder), found).select("dataset_id", "score"))
 
 
 @query(f"SELECT s.dataset_id, round(least(100 - s.score, 5.0 * coalesce(n, 0)), 1) AS estimated_improvement FROM ({DATASET_SCORE_SQL}) s LEFT JOIN (SELECT dataset_id, count(*) AS n FROM ({PROPOSALS_SQL}) GROUP BY dataset_id) p USING (dataset_id)")
 def estimated_improvement(spark, folder):
-    return R.estimated_improvement(proposals(spark, folder), S.dataset_score(totals(spark, folder), few(spark, folder)).select("dataset_id", "score"))
+    return R.estimated_improvement(proposals(spark, folder), S.dataset_score(totals(spark, folder), issues(spark, folder)).select("dataset_id", "score"))
 
 
 # Applying

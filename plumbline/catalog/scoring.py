@@ -30,24 +30,19 @@ DATASET_SCORE_SQL = f"""SELECT *, round(greatest(0.0, 100 - null_penalty - issue
   least(50.0, CAST(coalesce(cost, 0) AS DOUBLE)) AS issue_penalty FROM ({TOTALS_SQL}) t LEFT JOIN (SELECT dataset_id, sum({DATASET_COST}) AS cost FROM ({FEW_SQL}) GROUP BY dataset_id) i USING (dataset_id))"""
 
 
-def few(spark, folder):
-    """The issues of modest size: the checks of a dataset, not all its history."""
-    return issues(spark, folder).where("affected_count <= 3")
-
-
 @query(COLUMN_SCORES_SQL)
 def column_scores(spark, folder):
-    return S.column_scores(semantic(spark, folder).select("dataset_id", "column").distinct(), few(spark, folder))
+    return S.column_scores(semantic(spark, folder).select("dataset_id", "column").distinct(), issues(spark, folder))
 
 
 @query(f"SELECT dataset_id, round(null_penalty, 6) AS null_penalty, issue_penalty, score FROM ({DATASET_SCORE_SQL})")
 def dataset_scores(spark, folder):
-    return S.dataset_score(totals(spark, folder), few(spark, folder)).withColumn("null_penalty", F.round("null_penalty", 6))
+    return S.dataset_score(totals(spark, folder), issues(spark, folder)).withColumn("null_penalty", F.round("null_penalty", 6))
 
 
 @query(f"SELECT CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM ({DATASET_SCORE_SQL}) GROUP BY 1")
 def score_bands(spark, folder):
-    return S.dataset_score(totals(spark, folder), few(spark, folder)).groupBy(S.score_band(c("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return S.dataset_score(totals(spark, folder), issues(spark, folder)).groupBy(S.score_band(c("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT severity, issue_type, count(*) AS n FROM ({ISSUES_SQL}) GROUP BY GROUPING SETS ((), (severity), (issue_type))")
@@ -60,13 +55,13 @@ ESCALATION_SQL = f"""SELECT dataset_id, count(*) FILTER (WHERE severity = 'criti
 
 @query(f"SELECT *, critical > 0 OR doubtful > 0.3 * total AS needs_escalation FROM ({ESCALATION_SQL})")
 def escalation(spark, folder):
-    return S.escalation(few(spark, folder))
+    return S.escalation(issues(spark, folder))
 
 
 @query(f"""WITH s AS (SELECT dataset_id, avg(score) AS a FROM ({COLUMN_SCORES_SQL}) GROUP BY dataset_id), i AS (SELECT dataset_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_or_more FROM ({FEW_SQL}) GROUP BY dataset_id)
   SELECT dataset_id, round(a, 6) AS avg_score, critical, high_or_more, a >= 80 AND critical >= 2 AS score_vs_critical, high_or_more >= 2 AS plan_blind_spot FROM s JOIN i USING (dataset_id)""")
 def coherence_flags(spark, folder):
-    found = few(spark, folder)
+    found = issues(spark, folder)
     scores = S.column_scores(semantic(spark, folder).select("dataset_id", "column").distinct(), found)
     return S.coherence(scores, found, outliers_checked=False).withColumn("avg_score", F.round("avg_score", 6))
 
@@ -112,7 +107,7 @@ VALID = "SELECT dataset_id, CASE WHEN severity IN ('low', 'medium') THEN 0.9 ELS
 @query(scored_sql(confidence_sql("ratio - least(0.2, 0.02 * w)", "n", AGREED, coverage="0.9"),
                   f"SELECT dataset_id, CAST(count(*) AS DOUBLE) AS n, avg(signal) AS mean, stddev_pop(signal) AS std, avg(ok) AS ratio, sum(w) AS w FROM ({VALID}) GROUP BY dataset_id"))
 def validation_confidence(spark, folder):
-    verdicts = few(spark, folder).select("dataset_id", c("severity").isin("low", "medium").alias("is_valid"),
+    verdicts = issues(spark, folder).select("dataset_id", c("severity").isin("low", "medium").alias("is_valid"),
                                          F.when(c("severity") == "medium", F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
     return rounded(S.validation_confidence(verdicts))
 

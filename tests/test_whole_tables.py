@@ -1,0 +1,21 @@
+"""Queries whose registered SQL reads a part of its table only, against the same SQL over the whole table."""
+
+import pytest
+from compare import compare
+
+from plumbline import catalog
+from plumbline.catalog.fixtures import ISSUES_SQL
+from plumbline.catalog.scoring import FEW_SQL
+from plumbline.catalog.streaming import CLOSED
+
+catalog.load_all()
+SCORED = ["column_scores", "dataset_scores", "score_bands", "escalation", "coherence_flags", "validation_confidence", "estimated_scores", "estimated_improvement"]
+STREAMED = ["dashboard_stream", "quality_stream", "drift_stream"]
+
+
+@pytest.mark.parametrize("name", SCORED + STREAMED)
+def test_all_rows_and_days(spark, folder, name):
+    cut, whole = (FEW_SQL, ISSUES_SQL) if name in SCORED else (CLOSED, "day IS NOT NULL")
+    assert cut in catalog.SQL[name]
+    ok, message = compare(spark, folder, name, catalog.QUERIES[name], catalog.SQL[name].replace(cut, whole))
+    assert ok, message
