@@ -110,6 +110,25 @@ def test_near_copies(documents, texts, group):
     assert all(g in kept for g in set(may.values()))
 
 
+@pytest.mark.parametrize("group", [simhash.GROUP, 2])
+def test_near_copies_by_exact_similarity(spark, group):
+    """Copies with words replaced, at similarities of 0.69 to 0.93, and one in which a passage comes ten times as often."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 304)]
+        changed = list(w)
+        for k in range(2 + i % 9):
+            changed[10 + 30 * k] = f"other{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed) if i else " ".join(w[:2] * 200 + w)), (1000 + i, " ".join(w[:2] * 2 + w) if not i else None)]
+    texts = {i: t for i, t in rows if t}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert 30 < len(near) < 60
+    got = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), group=group).collect()}
+    assert got == set(roots(texts, near).values())
+
+
 def test_packing(documents, texts):
     rows = packing.pack(packing.token_pieces(documents, WORDS, keep_ids=True))
     got = rows.collect()
