@@ -213,6 +213,17 @@ def test_decontamination_of_changed_slots(spark):
     assert got == [1]  # the second has other words, the third fills two values of the item with one
 
 
+def test_decontamination_of_parts_and_short_items(spark):
+    words = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    long = "a teller named Anna gave 12 coins to the old miller and the young baker came back for 12 more of the same coins before the night"
+    sums = "3 + 4 * 5 = 23 and 23 - 9 = 14"
+    names = "yesterday Anna Berg met Carl Dahl near Eton Fell and Gus Holm saw Ida Jung"
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, long), (3, "Capital of Freedonia"), (4, "7 19 23 31 44 58 62 71"), (5, sums), (6, names)], "item_id bigint, text string")
+    rows = [(1, "before it " + " ".join(words[5:50]) + " after it"), (2, long.replace("12 more", "15 more")), (3, "what is the capital of Freedonia now"), (4, "so 7 19 23 31 44 58 62 71 it is"), (5, "freedonia of capital"), (6, names.lower()), (7, names.upper()), (8, " ".join(words[5:16]))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 6)}
+
+
 def test_pii_base_and_terms(spark):
     rows = [(i, f"Contact zorblatt{'x' * i} our treasurer Quixanda at q.anda@mail.example.org or +44 (0)20 7946 0958; 10.0.0.{i} and 300.1.1.1, 4111 1111 1111 1111.") for i in range(5)]
     rows += [(100 + i, f"Plain text number {i} about our treasurer and nothing else, 1.2.3.4.5.6.7.8 a@b.c_d@e.f") for i in range(300)]
