@@ -10,15 +10,13 @@ is a plain aggregate.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import slots_below, small
 from plumbline.llm.common import let, whole_text
 
-SAMPLES = 16
+SAMPLES = 64  # the likeness has a standard error of at most 1/16
 LOW = (1 << 32) - 1
 EMPTY = "none"  # the fingerprint of a text without words
 BUCKETS = 4  # ranges of ids, for each shuffle partition
@@ -41,22 +39,23 @@ def terms(text: Column) -> Column:
 def sample(x: Column, log_weight: Column, k: int) -> Column:
     """Sample ``k`` of a term as a long whose minimum over the terms is the document's sample.
 
-    The five uniforms are parts of one hash of (x, k): 11 bits each for r, 15 each for c, 12 for b, at the middle of their steps.
+    The five uniforms are parts of two hashes of (x, k): 24 bits each for r and c, 16 for b, at the middle of their steps.
     """
-    drawn = F.xxhash64(x, F.lit(k))
-    part = lambda shift, width: F.shiftrightunsigned(drawn, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5
-    r = F.lit(22 * math.log(2)) - F.log(part(0, 11) * part(11, 11))
-    c = F.lit(30 * math.log(2)) - F.log(part(22, 15) * part(37, 15))
-    b = part(52, 12) * 2.0**-12
+    one, two = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
+    unit = lambda bits, shift, width: (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
+    r = -F.log(unit(one, 0, 24) * unit(one, 24, 24))
+    c = -F.log(unit(two, 0, 24) * unit(two, 24, 24))
+    b = unit(one, 48, 16)
     t = F.floor(log_weight / r + b)
     least = F.log(c) - r * (t - b + 1.0)
-    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(x.bitwiseXOR(F.shiftleft(t, 24)).bitwiseAND(F.lit(LOW)))
+    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.xxhash64(x, t).bitwiseAND(F.lit(LOW)))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys`` and signature, an array of ``samples`` longs, for each row of ``texts`` (keys, text); null without words.
 
-    Rows with equal keys become one. Samples are combined where the text lies, so a document crosses the shuffle as ``samples`` longs.
+    Rows with equal keys become one. Samples are combined where the text lies, so a document crosses a shuffle as ``samples``
+    longs at most, and none if ``keys`` hold the column by which the texts are already dealt.
     """
     rows = texts.select(*keys, F.explode_outer(terms(whole_text())).alias("term")).select(*keys, F.col("term.x").alias("x"), F.log(F.col("term.n").cast("double")).alias("s"))
     made = rows.groupBy(*keys).agg(*[F.min(sample(F.col("x"), F.col("s"), k)).alias(f"s{k}") for k in range(samples)])
@@ -75,10 +74,11 @@ def fingerprint(signature: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(place, doc_id, h, text, next_id, next_h, next_text): each document and the next by doc_id; after the last, the first.
+    """(to, place, copy, doc_id, text, next_text): each document and the next by doc_id; after the last, the first.
 
-    Null ids come first, equal ids go by the hash of the text; h is xxhash64 of the text and place a number of the row.
-    Documents are dealt over ranges of ids; the first of a range is also sent to the range before it.
+    Null ids come first, equal ids go by the hash of the text; place numbers the rows of a range in this order.
+    Documents are dealt over ranges of ids (``to``); the first of a range is also sent to the range before it, as its
+    last row, with ``copy`` 1.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), whole_text().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
@@ -95,17 +95,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = dealt.join(sent, "id", "left").withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("bucket").alias("to")), F.when(F.col("back").isNotNull(), F.struct(F.lit(1).alias("copy"), F.col("back").alias("to")))))).where("at is not null")
     both = both.select("doc_id", "h", "text", "id", "at.copy", "at.to")
     order = Window.partitionBy("to").orderBy("copy", "id", "h")
-    ahead_of = F.lead(F.struct("doc_id", "h", "text")).over(order)
-    found = both.withColumn("next", ahead_of).withColumn("place", F.col("to").cast("long") * (1 << 40) + F.row_number().over(order)).where("copy = 0")
-    return found.select("place", "doc_id", "h", "text", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"), F.col("next.text").alias("next_text"))
+    return both.select("to", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """with_next, with n_chars and edited: the last quarter of the text replaced by as much of the start of the next one."""
+    """with_next, with n_chars and edited: the last quarter of the text replaced by as much of the start of the next one; null for a copy."""
     n = F.char_length("text")
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - part), F.substr(F.col("next_text"), F.lit(1), part))
-    return with_next(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    return with_next(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", F.when(F.col("copy") == 0, edited))
 
 
 def compare_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -113,11 +111,11 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     A null text counts as empty. Repeated rows each come back. Equal texts have equal fingerprints, those without words ``none``.
     """
-    pairs = edited_texts(docs).select("place", "doc_id", "h", "next_id", "next_h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))).alias("both"))
-    keys = ["place", "doc_id", "h", "next_id", "next_h", "n_chars", "edited_sha256"]
+    keys = ["to", "place", "copy", "doc_id", "n_chars", "edited_sha256"]
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
+    pairs = edited_texts(docs).select("to", "place", "copy", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sides.alias("both"))
     signed = signatures(pairs.select(*keys, F.explode("both").alias("t")).select(*keys, "t.side", "t.text"), [*keys, "side"], samples)
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct("signature")))["signature"]
-    rows = signed.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("changed"))
-    known = rows.select(F.col("doc_id").alias("known_id"), F.col("h").alias("known_h"), F.col("own").alias("next_own")).dropDuplicates(["known_id", "known_h"])
-    met = rows.join(known, F.col("next_id").eqNullSafe(F.col("known_id")) & (F.col("next_h") == F.col("known_h")), "left")
-    return met.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    # everything since the texts were dealt stays within its range: no further shuffle
+    rows = signed.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("changed")).withColumn("next_own", F.lead("own").over(Window.partitionBy("to").orderBy("place"))).where("copy = 0")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

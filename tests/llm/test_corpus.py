@@ -277,6 +277,20 @@ def test_fingerprints(spark, documents, texts, folder):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_fingerprints_tell_likeness_within_a_sixteenth(spark, folder):
+    """The error of k samples at a likeness j has the deviation sqrt(j (1 - j) / k)."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in cws.compare_edits(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    off = []
+    for i, following in zip(ids, ids[1:] + ids[:1], strict=True):
+        t, n = texts[i], texts[following]
+        a, b = Counter(t.lower().split()), Counter((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).lower().split())
+        off.append(got[i]["near_edited"] - sum((a & b).values()) / max(1, sum((a | b).values())))
+        assert len(got[i]["fingerprint"]) in (4, 8 * 64)
+    assert np.std(off) < 0.07
+
+
 def test_preferences(spark):
     rows = [("a", 0, "user", "hi"), ("a", 1, "assistant", "yes"), ("b", 0, "user", None), ("b", 1, "assistant", "same"), ("d", 0, "user", "only here")]
     other = [("a", 0, "user", "hi"), ("a", 1, "assistant", "no"), ("a", 2, "user", "?"), ("b", 0, "user", None), ("b", 1, "assistant", "same")]
