@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 ORDER = 2  # words of the longest n-gram
 PRIOR = 128.0  # pseudo-counts of the shorter context
-BLOCK_BYTES = 16 << 20  # text of a block
-RANGE_BYTES = 24 << 20  # text for each range of hashes
+BLOCK_BYTES = 8 << 20  # text of a block
+RANGE_BYTES = 12 << 20  # text for each range of hashes
 PIECE = 4096  # words run through at a time
 MOST_WORDS = 500_000  # distinct words counted in a task before they are handed on
 START, STOP = 0, 1  # word numbers of the start of a text, which is only ever context, and of its end
@@ -55,6 +55,15 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers as bytes, all lowest bytes first: the many zero bytes of small numbers lie together, where a shuffle's codec finds them."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 @dataclass
 class Grams:
     """The distinct n-grams of one length in a block. For length 1 they are the words by number."""
@@ -274,22 +283,23 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int =
         keys, counts = texts_of(part).counts()
         at = cuts(keys)
         some = np.flatnonzero(np.diff(at))
-        pack = lambda values: pa.array([values[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())
+        pack = lambda values: pa.array([packed(values(at[i], at[i + 1])) for i in some], pa.binary())
         number = np.full(len(some), part.column("block")[0].as_py(), np.int32)
-        return pa.table({"part": pa.array(some.astype(np.int32)), "block": pa.array(number), "keys": pack(keys), "counts": pack(counts.astype(np.uint32))})
+        steps = pack(lambda a, b: np.diff(keys[a:b], prepend=np.uint64(0)))  # ascending
+        return pa.table({"part": pa.array(some.astype(np.int32)), "block": pa.array(number), "keys": steps, "counts": pack(lambda a, b: counts[a:b])})
 
     def add_up(part: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in part.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("counts").to_pylist()])
+        keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in part.column("keys").to_pylist()]
+        counts = np.concatenate([unpacked(x) for x in part.column("counts").to_pylist()])
         once, where = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(where, counts, len(once)).astype(np.int64)[where]
         ends = np.cumsum([0, *map(len, keys)]).tolist()
-        back = [totals[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        back = [packed(totals[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"block": part.column("block"), "part": part.column("part"), "totals": pa.array(back, pa.binary())})
 
     def score(part: pa.Table, replies: pa.Table) -> pa.Table:
         held = texts_of(part)
-        held.fill(np.frombuffer(b"".join(replies.sort_by("part").column("totals").to_pylist()), np.int64))
+        held.fill(np.concatenate([unpacked(x) for x in replies.sort_by("part").column("totals").to_pylist()]).astype(np.int64))
         machine = Automaton(held, tokens, distinct, prior)
         known = held.words((held.grams[0].count > 0).astype(np.int64))
         columns = [np.diff(held.first) - 1, known, held.words(machine.base), machine.run(held)]
