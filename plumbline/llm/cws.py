@@ -36,30 +36,50 @@ def terms(text: Column) -> Column:
     return let(hashes, counted)
 
 
-def sample(x: Column, log_weight: Column, k: int) -> Column:
+def terms_of_both(text: Column, other: Column) -> Column:
+    """array<struct<x, n, sides>>: the distinct (term, weight) of two texts; sides is 1 for the first text, 2 for the other, 3 for both."""
+    marked = lambda t, side: F.transform(F.coalesce(terms(t), F.array().cast("array<struct<x:bigint,n:int>>")), lambda e: F.struct(e["x"].alias("x"), e["n"].alias("n"), F.lit(side).alias("sides")))
+    same = lambda e, f: F.coalesce((e["x"] == f["x"]) & (e["n"] == f["n"]), F.lit(False))
+
+    def merged(all_terms: Column) -> Column:
+        seen = F.transform(all_terms, lambda e, i: F.when(~((i > 0) & same(e, F.get(all_terms, F.greatest(i - 1, F.lit(0))))), F.struct(e["x"].alias("x"), e["n"].alias("n"), F.when(same(e, F.get(all_terms, i + 1)), 3).otherwise(e["sides"]).alias("sides"))))
+        return F.filter(seen, lambda e: e.isNotNull())
+
+    return let(F.sort_array(F.concat(marked(text, 1), marked(other, 2))), merged)  # two sorted lists: the sort merges them
+
+
+def sample(x: Column, one: Column, log_weight: Column, k: int) -> Column:
     """Sample ``k`` of a term as a long whose minimum over the terms is the document's sample.
 
     The five uniforms are parts of two hashes of (x, k): 24 bits each for r and c, 16 for b, at the middle of their steps.
+    ``one`` is the hash of (x, 0) where the weight is 1, else null: as b is under 1, t is 0 there.
     """
-    one, two = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
+    first, second = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
     unit = lambda bits, shift, width: (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
-    r = -F.log(unit(one, 0, 24) * unit(one, 24, 24))
-    c = -F.log(unit(two, 0, 24) * unit(two, 24, 24))
-    b = unit(one, 48, 16)
-    t = F.floor(log_weight / r + b)
+    r = -F.log(unit(first, 0, 24) * unit(first, 24, 24))
+    c = -F.log(unit(second, 0, 24) * unit(second, 24, 24))
+    b = unit(first, 48, 16)
+    t = F.when(one.isNotNull(), F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     least = F.log(c) - r * (t - b + 1.0)
-    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.xxhash64(x, t).bitwiseAND(F.lit(LOW)))
+    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.coalesce(one, F.xxhash64(x, t)).bitwiseAND(F.lit(LOW)))
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and signature, an array of ``samples`` longs, for each row of ``texts`` (keys, text); null without words.
+def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keys``, own and changed: arrays of ``samples`` longs for the two texts of each row of ``rows`` (keys, text, edited); null without words.
 
-    Rows with equal keys become one. Samples are combined where the text lies, so a document crosses a shuffle as ``samples``
-    longs at most, and none if ``keys`` hold the column by which the texts are already dealt.
+    Rows with equal keys become one. Each distinct term and weight of the two texts is drawn once for both. Samples are
+    combined where the texts lie, so a document crosses a shuffle as a few times ``samples`` longs at most, and not at all if ``keys``
+    hold the column by which the texts are already dealt.
     """
-    rows = texts.select(*keys, F.explode_outer(terms(whole_text())).alias("term")).select(*keys, F.col("term.x").alias("x"), F.log(F.col("term.n").cast("double")).alias("s"))
-    made = rows.groupBy(*keys).agg(*[F.min(sample(F.col("x"), F.col("s"), k)).alias(f"s{k}") for k in range(samples)])
-    return made.select(*keys, F.when(F.col("s0").isNotNull(), F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(LOW)) for k in range(samples)])).alias("signature"))
+    each = rows.select(*keys, F.explode_outer(terms_of_both(whole_text(), whole_text("edited"))).alias("term"))
+    each = each.select(*keys, "term.sides", F.col("term.x").alias("x"), F.when(F.col("term.n") == 1, F.xxhash64("term.x", F.lit(0).cast("long"))).alias("one"), F.log(F.col("term.n").cast("double")).alias("s"))
+    least = each.groupBy(*keys, "sides").agg(*[F.min(sample(F.col("x"), F.col("one"), F.col("s"), k)).alias(f"s{k}") for k in range(samples)])
+    made = least.select(*keys, "sides", F.array(*[f"s{k}" for k in range(samples)]).alias("least"))
+    of = lambda side: F.max(F.when(F.col("sides") == side, F.struct("least")))["least"]
+    sides = made.groupBy(*keys).agg(*[of(k).alias(f"l{k}") for k in (1, 2, 3)])
+    low = lambda least: F.transform(least, lambda x: x.bitwiseAND(F.lit(LOW)))
+    both = lambda own: low(F.coalesce(F.zip_with(own, "l3", lambda a, b: F.least(a, b)), F.col(own), F.col("l3")))
+    return sides.select(*keys, both("l1").alias("own"), both("l2").alias("changed"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,10 +132,8 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     A null text counts as empty. Repeated rows each come back. Equal texts have equal fingerprints, those without words ``none``.
     """
     keys = ["to", "place", "copy", "doc_id", "n_chars", "edited_sha256"]
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
-    pairs = edited_texts(docs).select("to", "place", "copy", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sides.alias("both"))
-    signed = signatures(pairs.select(*keys, F.explode("both").alias("t")).select(*keys, "t.side", "t.text"), [*keys, "side"], samples)
-    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("signature")))["signature"]
+    texts = edited_texts(docs).select("to", "place", "copy", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     # everything since the texts were dealt stays within its range: no further shuffle
-    rows = signed.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("changed")).withColumn("next_own", F.lead("own").over(Window.partitionBy("to").orderBy("place"))).where("copy = 0")
+    signed = signatures(texts, keys, samples)
+    rows = signed.withColumn("next_own", F.lead("own").over(Window.partitionBy("to").orderBy("place"))).where("copy = 0")
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
