@@ -18,6 +18,8 @@ from plumbline.llm.common import let, whole_text
 
 SAMPLES = 64  # the likeness has a standard error of at most 1/16
 LOW = (1 << 32) - 1
+SURE = 40.0  # a sample is not the exact one with probability exp(-SURE)
+BEHIND = (110 << 24) << 32  # above every sample
 EMPTY = "none"  # the fingerprint of a text without words
 BUCKETS = 4  # ranges of ids, for each shuffle partition
 
@@ -48,20 +50,27 @@ def terms_of_both(text: Column, other: Column) -> Column:
     return let(F.sort_array(F.concat(marked(text, 1), marked(other, 2))), merged)  # two sorted lists: the sort merges them
 
 
-def sample(x: Column, one: Column, log_weight: Column, k: int) -> Column:
+def sample(x: Column, one: Column, weight: Column, log_weight: Column, reach: Column, k: int) -> Column:
     """Sample ``k`` of a term as a long whose minimum over the terms is the document's sample.
 
     The five uniforms are parts of two hashes of (x, k): 24 bits each for r and c, 16 for b, at the middle of their steps.
     ``one`` is the hash of (x, 0) where the weight is 1, else null: as b is under 1, t is 0 there.
+
+    a is distributed as an exponential with the term's weight for its rate, so the least a of a text is over ``reach`` =
+    SURE / total weight with probability exp(-SURE). With p = exp(-c) and q = exp(-r), a is at least
+    2 (1 - p) / (1 + p) q / weight, and for weight 1 even 2 (1 - p) / (1 + p) q / (1 - b + b q). Where this exceeds ``reach``, the
+    logarithms are left out and the term stands behind all others, by its hash.
     """
     first, second = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
     unit = lambda bits, shift, width: (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
-    r = -F.log(unit(first, 0, 24) * unit(first, 24, 24))
-    c = -F.log(unit(second, 0, 24) * unit(second, 24, 24))
+    p, q = unit(second, 0, 24) * unit(second, 24, 24), unit(first, 0, 24) * unit(first, 24, 24)
     b = unit(first, 48, 16)
+    r, c = -F.log(q), -F.log(p)
     t = F.when(one.isNotNull(), F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     least = F.log(c) - r * (t - b + 1.0)
-    return F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.coalesce(one, F.xxhash64(x, t)).bitwiseAND(F.lit(LOW)))
+    exact = F.shiftleft(((least + 64.0) * float(1 << 24)).cast("long"), 32).bitwiseOR(F.coalesce(one, F.xxhash64(x, t)).bitwiseAND(F.lit(LOW)))
+    room = F.when(one.isNotNull(), (1.0 - b) + b * q).otherwise(weight)
+    return F.when((1.0 - p) * q * 2.0 > reach * (1.0 + p) * room, F.lit(BEHIND).bitwiseOR(x.bitwiseAND(F.lit(LOW)))).otherwise(exact)
 
 
 def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -71,9 +80,13 @@ def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> Data
     combined where the texts lie, so a document crosses a shuffle as a few times ``samples`` longs at most, and not at all if ``keys``
     hold the column by which the texts are already dealt.
     """
-    each = rows.select(*keys, F.explode_outer(terms_of_both(whole_text(), whole_text("edited"))).alias("term"))
-    each = each.select(*keys, "term.sides", F.col("term.x").alias("x"), F.when(F.col("term.n") == 1, F.xxhash64("term.x", F.lit(0).cast("long"))).alias("one"), F.log(F.col("term.n").cast("double")).alias("s"))
-    least = each.groupBy(*keys, "sides").agg(*[F.min(sample(F.col("x"), F.col("one"), F.col("s"), k)).alias(f"s{k}") for k in range(samples)])
+    total = lambda side: F.aggregate("terms", F.lit(0), lambda s, e: s + F.when(e["sides"] != side, e["n"]).otherwise(0))
+    found = rows.select(*keys, terms_of_both(whole_text(), whole_text("edited")).alias("terms"))
+    reach = (SURE / F.greatest(F.least(total(2), total(1)), F.lit(1))).alias("reach")
+    each = found.select(*keys, reach, "terms").select(*keys, "reach", F.explode_outer("terms").alias("term"))
+    weight = F.col("term.n").cast("double")
+    each = each.select(*keys, "reach", "term.sides", F.col("term.x").alias("x"), F.when(weight == 1, F.xxhash64("term.x", F.lit(0).cast("long"))).alias("one"), weight.alias("n"), F.log(weight).alias("s"))
+    least = each.groupBy(*keys, "sides").agg(*[F.min(sample(F.col("x"), F.col("one"), F.col("n"), F.col("s"), F.col("reach"), k)).alias(f"s{k}") for k in range(samples)])
     made = least.select(*keys, "sides", F.array(*[f"s{k}" for k in range(samples)]).alias("least"))
     of = lambda side: F.max(F.when(F.col("sides") == side, F.struct("least")))["least"]
     sides = made.groupBy(*keys).agg(*[of(k).alias(f"l{k}") for k in (1, 2, 3)])
