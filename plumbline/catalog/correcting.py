@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.catalog.checking import MISSING_SQL, PSEUDO_SQL
-from plumbline.catalog.fixtures import CUSTOMERS, CUSTOMERS_SQL, FEEDBACK_SQL, ISSUES_SQL, SESSIONS_SQL, customers, feedback, issues, sessions, table, totals
+from plumbline.catalog.fixtures import CUSTOMERS, CUSTOMERS_SQL, DAY_OF_USER, FEEDBACK_SQL, ISSUES_SQL, SESSIONS_SQL, USER, customers, feedback, issues, per_day, sessions, table, totals
 from plumbline.catalog.profiling import number, over, pseudo, stripped, union
-from plumbline.catalog.scoring import DATASET_SCORE_SQL, FEW_SQL
+from plumbline.catalog.scoring import DATASET_SCORE_SQL, DAY_ISSUES_SQL
 from plumbline.functions import constants as K
 from plumbline.operators import checks as C
 from plumbline.operators import corrections as R
@@ -40,9 +40,9 @@ def fill_statistics(spark, folder):
 STATS_SQL = "SELECT DISTINCT concat('user_', user_id) AS dataset_id, concat('c', event_id % 4) AS \"column\", event_id % 4 <> 2 AS is_numeric, CAST(user_id AS DOUBLE) AS median, CAST(user_id + 0.5 AS DOUBLE) AS mean, CAST(user_id - 10 AS DOUBLE) AS p1, CAST(user_id + 10 AS DOUBLE) AS p99, 'm' AS mode FROM events"
 
 
-def statistics(spark, folder):
+def statistics(spark, folder, dataset=USER):
     return table(spark, folder, "events").selectExpr(
-        "concat('user_', user_id) AS dataset_id", "concat('c', event_id % 4) AS column", "event_id % 4 <> 2 AS is_numeric", "CAST(user_id AS DOUBLE) AS median",
+        f"{dataset} AS dataset_id", "concat('c', event_id % 4) AS column", "event_id % 4 <> 2 AS is_numeric", "CAST(user_id AS DOUBLE) AS median",
         "CAST(user_id + 0.5 AS DOUBLE) AS mean", "CAST(user_id - 10 AS DOUBLE) AS p1", "CAST(user_id + 10 AS DOUBLE) AS p99", "'m' AS mode").distinct()
 
 
@@ -66,8 +66,8 @@ PROPOSALS_SQL = f"""WITH j AS (SELECT i.*, s.is_numeric, s.median, s.mean, s.p1,
 ])
 
 
-def proposals(spark, folder):
-    return R.propose(issues(spark, folder), statistics(spark, folder))
+def proposals(spark, folder, dataset=USER):
+    return R.propose(issues(spark, folder, dataset), statistics(spark, folder, dataset))
 
 
 def flat(rows):
@@ -145,15 +145,15 @@ def correction_plan(spark, folder):
 
 
 @query(f"""SELECT s.dataset_id, s.score, coalesce(auto, 0) AS auto, coalesce(manual, 0) AS manual, least(100.0, s.score + coalesce(gain, 0)) AS estimated_score FROM ({DATASET_SCORE_SQL}) s LEFT JOIN (
-  SELECT dataset_id, count(*) FILTER (WHERE {AUTO}) AS auto, count(*) FILTER (WHERE NOT {AUTO}) AS manual, sum(CASE WHEN {AUTO} THEN CASE severity WHEN 'critical' THEN 15 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END ELSE 0 END) AS gain FROM ({FEW_SQL}) GROUP BY dataset_id) p USING (dataset_id)""")
+  SELECT dataset_id, count(*) FILTER (WHERE {AUTO}) AS auto, count(*) FILTER (WHERE NOT {AUTO}) AS manual, sum(CASE WHEN {AUTO} THEN CASE severity WHEN 'critical' THEN 15 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END ELSE 0 END) AS gain FROM ({DAY_ISSUES_SQL}) GROUP BY dataset_id) p USING (dataset_id)""")
 def estimated_scores(spark, folder):
-    found = issues(spark, folder)
-    return R.estimated_score(R.correction_plan(found), S.dataset_score(totals(spark, folder), found).select("dataset_id", "score"))
+    found = issues(spark, folder, DAY_OF_USER)
+    return R.estimated_score(R.correction_plan(found), S.dataset_score(totals(spark, folder, DAY_OF_USER), found).select("dataset_id", "score"))
 
 
-@query(f"SELECT s.dataset_id, round(least(100 - s.score, 5.0 * coalesce(n, 0)), 1) AS estimated_improvement FROM ({DATASET_SCORE_SQL}) s LEFT JOIN (SELECT dataset_id, count(*) AS n FROM ({PROPOSALS_SQL}) GROUP BY dataset_id) p USING (dataset_id)")
+@query(f"SELECT s.dataset_id, round(least(100 - s.score, 5.0 * coalesce(n, 0)), 1) AS estimated_improvement FROM ({DATASET_SCORE_SQL}) s LEFT JOIN (SELECT dataset_id, count(*) AS n FROM ({per_day(PROPOSALS_SQL)}) GROUP BY dataset_id) p USING (dataset_id)")
 def estimated_improvement(spark, folder):
-    return R.estimated_improvement(proposals(spark, folder), S.dataset_score(totals(spark, folder), issues(spark, folder)).select("dataset_id", "score"))
+    return R.estimated_improvement(proposals(spark, folder, DAY_OF_USER), S.dataset_score(totals(spark, folder, DAY_OF_USER), issues(spark, folder, DAY_OF_USER)).select("dataset_id", "score"))
 
 
 # Applying

@@ -49,8 +49,17 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return derive(table(spark, folder, "customer"), CUSTOMERS)
 
 
+USER = "concat('user_', user_id)"
+DAY_OF_USER = "concat('user_', user_id, '_', CAST(ts AS DATE))"
+
+
+def per_day(sql: str) -> str:
+    """The SQL with a dataset for each day of a user: two or three issues each, so that scores spread and few reach the floor."""
+    return sql.replace(USER, DAY_OF_USER)
+
+
 ISSUES = {
-    "dataset_id": "concat('user_', user_id)", "session_id": "concat('', CAST(ts AS DATE))", "issue_id": "concat('i', event_id)",
+    "dataset_id": USER, "session_id": "concat('', CAST(ts AS DATE))", "issue_id": "concat('i', event_id)",
     "issue_type": "CASE event_type WHEN 'view' THEN 'missing_values' WHEN 'click' THEN 'format_error' WHEN 'purchase' THEN 'anomaly' "
                   "WHEN 'signup' THEN 'type_mismatch' ELSE 'constraint_violation' END",
     "severity": "CASE WHEN value < 10 THEN 'low' WHEN value < 40 THEN 'medium' WHEN value < 150 THEN 'high' ELSE 'critical' END",
@@ -61,9 +70,9 @@ ISSUES = {
 ISSUES_SQL = as_sql(ISSUES, "events")
 
 
-def issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues of many datasets and sessions: one per event, the user is the dataset, the day the session."""
-    rows = derive(table(spark, folder, "events"), ISSUES)
+def issues(spark: SparkSession, folder: str, dataset: str = USER) -> DataFrame:
+    """Issues of many datasets and sessions: one per event, the user is the dataset (or as given), the day the session."""
+    rows = derive(table(spark, folder, "events"), ISSUES | {"dataset_id": dataset})
     return rows.withColumn("details", F.create_map(F.lit("kind"), F.col("kind"))).withColumn("rule_id", F.lit("event"))
 
 
@@ -105,24 +114,24 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 # Column metadata of many datasets: what each user's columns hold, by the events seen.
 SEMANTIC = {
-    "dataset_id": "concat('user_', user_id)", "column": "concat('c', event_id % 4)",
+    "dataset_id": USER, "column": "concat('c', event_id % 4)",
     "semantic_type": "CASE (user_id + event_id % 4) % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'age' WHEN 3 THEN 'monetary_amount' "
                      "WHEN 4 THEN 'percentage' WHEN 5 THEN 'identifier' ELSE 'free_text' END",
 }
 SEMANTIC_SQL = f"SELECT DISTINCT * FROM ({as_sql(SEMANTIC, 'events')})"
 
 
-def semantic(spark: SparkSession, folder: str) -> DataFrame:
-    return derive(table(spark, folder, "events"), SEMANTIC).distinct()
+def semantic(spark: SparkSession, folder: str, dataset: str = USER) -> DataFrame:
+    return derive(table(spark, folder, "events"), SEMANTIC | {"dataset_id": dataset}).distinct()
 
 
-TOTALS_SQL = """SELECT concat('user_', user_id) AS dataset_id, count(*) * 10 AS row_count, 4 AS column_count,
-  sum(event_id % 7) AS total_null_count FROM events GROUP BY user_id"""
+TOTALS_SQL = f"""SELECT {USER} AS dataset_id, count(*) * 10 AS row_count, 4 AS column_count,
+  sum(event_id % 7) AS total_null_count FROM events GROUP BY 1"""
 
 
-def totals(spark: SparkSession, folder: str) -> DataFrame:
+def totals(spark: SparkSession, folder: str, dataset: str = USER) -> DataFrame:
     e = table(spark, folder, "events")
-    return e.groupBy(F.concat(F.lit("user_"), "user_id").alias("dataset_id")).agg(
+    return e.groupBy(F.expr(dataset).alias("dataset_id")).agg(
         (F.count(F.lit(1)) * 10).alias("row_count"), F.lit(4).alias("column_count"), F.sum(F.expr("event_id % 7")).alias("total_null_count")
     )
 

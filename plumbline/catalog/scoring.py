@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.catalog.fixtures import (
-    DETECTED_SQL, ISSUES_SQL, SEMANTIC_SQL, TOTALS_SQL, domain_values, domains, issues, semantic, sessions, SESSIONS_SQL, totals,
+    DAY_OF_USER, DETECTED_SQL, ISSUES_SQL, SEMANTIC_SQL, TOTALS_SQL, domain_values, domains, issues, per_day, semantic, sessions, SESSIONS_SQL, totals,
 )
 from plumbline.functions.expressions import severity_rank
 from plumbline.operators import domains as D
@@ -21,28 +21,27 @@ def weight(values: dict[str, int]) -> str:
 
 COLUMN_COST = weight({"critical": 40, "high": 25, "medium": 12, "low": 5})
 DATASET_COST = weight({"low": 1, "medium": 3, "high": 7, "critical": 15})
-COLUMNS_SQL = f"SELECT DISTINCT dataset_id, \"column\" FROM ({SEMANTIC_SQL})"
-# a few issues per dataset, so that scores do not all end at the floor
-FEW_SQL = f"SELECT * FROM ({ISSUES_SQL}) WHERE CAST(affected_count AS BIGINT) <= 3"
+DAY_ISSUES_SQL, DAY_TOTALS_SQL = per_day(ISSUES_SQL), per_day(TOTALS_SQL)
+COLUMNS_SQL = f"SELECT DISTINCT dataset_id, \"column\" FROM ({per_day(SEMANTIC_SQL)})"
 COLUMN_SCORES_SQL = f"""SELECT k.dataset_id, k."column", greatest(0.0, 100.0 - coalesce(cost, 0)) AS score FROM ({COLUMNS_SQL}) k
-  LEFT JOIN (SELECT dataset_id, "column", sum({COLUMN_COST}) AS cost FROM ({FEW_SQL}) WHERE "column" IS NOT NULL GROUP BY ALL) i ON i.dataset_id = k.dataset_id AND i."column" = k."column" """
+  LEFT JOIN (SELECT dataset_id, "column", sum({COLUMN_COST}) AS cost FROM ({DAY_ISSUES_SQL}) WHERE "column" IS NOT NULL GROUP BY ALL) i ON i.dataset_id = k.dataset_id AND i."column" = k."column" """
 DATASET_SCORE_SQL = f"""SELECT *, round(greatest(0.0, 100 - null_penalty - issue_penalty), 1) AS score FROM (SELECT t.dataset_id, least(30.0, 100.0 * CAST(total_null_count AS DOUBLE) / (row_count * column_count)) AS null_penalty,
-  least(50.0, CAST(coalesce(cost, 0) AS DOUBLE)) AS issue_penalty FROM ({TOTALS_SQL}) t LEFT JOIN (SELECT dataset_id, sum({DATASET_COST}) AS cost FROM ({FEW_SQL}) GROUP BY dataset_id) i USING (dataset_id))"""
+  least(50.0, CAST(coalesce(cost, 0) AS DOUBLE)) AS issue_penalty FROM ({DAY_TOTALS_SQL}) t LEFT JOIN (SELECT dataset_id, sum({DATASET_COST}) AS cost FROM ({DAY_ISSUES_SQL}) GROUP BY dataset_id) i USING (dataset_id))"""
 
 
 @query(COLUMN_SCORES_SQL)
 def column_scores(spark, folder):
-    return S.column_scores(semantic(spark, folder).select("dataset_id", "column").distinct(), issues(spark, folder))
+    return S.column_scores(semantic(spark, folder, DAY_OF_USER).select("dataset_id", "column").distinct(), issues(spark, folder, DAY_OF_USER))
 
 
 @query(f"SELECT dataset_id, round(null_penalty, 6) AS null_penalty, issue_penalty, score FROM ({DATASET_SCORE_SQL})")
 def dataset_scores(spark, folder):
-    return S.dataset_score(totals(spark, folder), issues(spark, folder)).withColumn("null_penalty", F.round("null_penalty", 6))
+    return S.dataset_score(totals(spark, folder, DAY_OF_USER), issues(spark, folder, DAY_OF_USER)).withColumn("null_penalty", F.round("null_penalty", 6))
 
 
 @query(f"SELECT CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM ({DATASET_SCORE_SQL}) GROUP BY 1")
 def score_bands(spark, folder):
-    return S.dataset_score(totals(spark, folder), issues(spark, folder)).groupBy(S.score_band(c("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return S.dataset_score(totals(spark, folder, DAY_OF_USER), issues(spark, folder, DAY_OF_USER)).groupBy(S.score_band(c("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT severity, issue_type, count(*) AS n FROM ({ISSUES_SQL}) GROUP BY GROUPING SETS ((), (severity), (issue_type))")
@@ -50,19 +49,19 @@ def issue_counts(spark, folder):
     return S.issue_counts(issues(spark, folder))
 
 
-ESCALATION_SQL = f"""SELECT dataset_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'critical' OR confidence < 0.7) AS doubtful, count(*) AS total FROM ({FEW_SQL}) GROUP BY dataset_id"""
+ESCALATION_SQL = f"""SELECT dataset_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'critical' OR confidence < 0.7) AS doubtful, count(*) AS total FROM ({DAY_ISSUES_SQL}) GROUP BY dataset_id"""
 
 
 @query(f"SELECT *, critical > 0 OR doubtful > 0.3 * total AS needs_escalation FROM ({ESCALATION_SQL})")
 def escalation(spark, folder):
-    return S.escalation(issues(spark, folder))
+    return S.escalation(issues(spark, folder, DAY_OF_USER))
 
 
-@query(f"""WITH s AS (SELECT dataset_id, avg(score) AS a FROM ({COLUMN_SCORES_SQL}) GROUP BY dataset_id), i AS (SELECT dataset_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_or_more FROM ({FEW_SQL}) GROUP BY dataset_id)
+@query(f"""WITH s AS (SELECT dataset_id, avg(score) AS a FROM ({COLUMN_SCORES_SQL}) GROUP BY dataset_id), i AS (SELECT dataset_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_or_more FROM ({DAY_ISSUES_SQL}) GROUP BY dataset_id)
   SELECT dataset_id, round(a, 6) AS avg_score, critical, high_or_more, a >= 80 AND critical >= 2 AS score_vs_critical, high_or_more >= 2 AS plan_blind_spot FROM s JOIN i USING (dataset_id)""")
 def coherence_flags(spark, folder):
-    found = issues(spark, folder)
-    scores = S.column_scores(semantic(spark, folder).select("dataset_id", "column").distinct(), found)
+    found = issues(spark, folder, DAY_OF_USER)
+    scores = S.column_scores(semantic(spark, folder, DAY_OF_USER).select("dataset_id", "column").distinct(), found)
     return S.coherence(scores, found, outliers_checked=False).withColumn("avg_score", F.round("avg_score", 6))
 
 
@@ -101,13 +100,13 @@ def proposal_confidence(spark, folder):
     return rounded(S.proposal_confidence(issues(spark, folder)))
 
 
-VALID = "SELECT dataset_id, CASE WHEN severity IN ('low', 'medium') THEN 0.9 ELSE 0.3 END AS signal, CASE WHEN severity IN ('low', 'medium') THEN 1.0 ELSE 0.0 END AS ok, CASE WHEN severity = 'medium' THEN 1 ELSE 0 END AS w FROM (" + FEW_SQL + ")"
+VALID = "SELECT dataset_id, CASE WHEN severity IN ('low', 'medium') THEN 0.9 ELSE 0.3 END AS signal, CASE WHEN severity IN ('low', 'medium') THEN 1.0 ELSE 0.0 END AS ok, CASE WHEN severity = 'medium' THEN 1 ELSE 0 END AS w FROM (" + DAY_ISSUES_SQL + ")"
 
 
 @query(scored_sql(confidence_sql("ratio - least(0.2, 0.02 * w)", "n", AGREED, coverage="0.9"),
                   f"SELECT dataset_id, CAST(count(*) AS DOUBLE) AS n, avg(signal) AS mean, stddev_pop(signal) AS std, avg(ok) AS ratio, sum(w) AS w FROM ({VALID}) GROUP BY dataset_id"))
 def validation_confidence(spark, folder):
-    verdicts = issues(spark, folder).select("dataset_id", c("severity").isin("low", "medium").alias("is_valid"),
+    verdicts = issues(spark, folder, DAY_OF_USER).select("dataset_id", c("severity").isin("low", "medium").alias("is_valid"),
                                          F.when(c("severity") == "medium", F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
     return rounded(S.validation_confidence(verdicts))
 
