@@ -17,6 +17,7 @@ from plumbline.functions import constants as K
 from plumbline.functions import predicates as P
 from plumbline.functions.expressions import contains_any, percent, small
 from plumbline.operators.checks import c, details, finish, issue, repeats
+from plumbline.operators.nearrows import wide_near_duplicates
 from plumbline.operators.similarity import text_top_k
 from plumbline.operators.skew import hot_keys, join_spread
 
@@ -154,27 +155,29 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
 
 
-MOST_SUBSETS = 1000  # signatures of a row that near_duplicates makes; more are refused
+MOST_SUBSETS = 1000  # signatures of a row; where there would be more, rows meet on blocks of columns
 
 
-def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str], ratio: float = 0.9) -> DataFrame:
+def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str], ratio: float = 0.9, most_subsets: int = MOST_SUBSETS) -> DataFrame:
     """Distinct rows (block and compared columns) with ``copies`` and the number of ``partners``, if they have any.
 
     A partner is another row of the same block that agrees on at least ``ratio`` of the compared columns, null
-    agreeing with null; copies of the row count too. Rows are grouped by the values of each subset of at least that
-    many columns and never paired. A partner that agrees on j columns is met in several subsets, so the group sizes
-    are added with the signs and weights of inclusion-exclusion, (-1)^(k - least) * C(k - 1, least - 1) for a subset
-    of k columns, which counts each partner once. Exact copies are folded first, and the rows of a large group are
-    spread over several tasks. Too many subsets (MOST_SUBSETS) are an error before anything runs.
+    agreeing with null; copies of the row count too. Exact copies are folded first.
+
+    Few columns: rows are grouped by the values of each subset of at least that many columns and never paired. A
+    partner that agrees on j columns is met in several subsets, so the group sizes are added with the signs and weights of
+    inclusion-exclusion, (-1)^(k - least) * C(k - 1, least - 1) for a subset of k columns, which counts each partner once.
+    The rows of a large group are spread over several tasks. Many columns (more than ``most_subsets`` subsets):
+    ``nearrows.wide_near_duplicates``, with the same result.
     """
     m = len(compare)
     least = math.ceil(ratio * m - 1e-9)
     if not 1 <= least <= m:
         raise ValueError("the ratio must ask for at least one of the compared columns and at most all")
-    if (made := sum(math.comb(m, k) for k in range(least, m + 1))) > MOST_SUBSETS:
-        raise ValueError(f"{m} columns at {ratio} make {made} subsets a row, over {MOST_SUBSETS}: compare fewer columns or raise the ratio")
     columns = [*block, *compare]
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    if sum(math.comb(m, k) for k in range(least, m + 1)) > most_subsets:
+        return wide_near_duplicates(rows, block, compare, least)
     # a signature is the block, the subset's number and its values, as JSON: equal text, equal values
     subsets = [s for k in range(least, m + 1) for s in itertools.combinations(range(m), k)]
     signatures = F.array(*[

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import checks as C
 from plumbline.operators import corrections as R
-from plumbline.operators import domains, drift, metrics, outliers, rules, scoring
+from plumbline.operators import domains, drift, metrics, outliers, rulebook, rules, scoring
 from plumbline.operators import profile as prof
 from plumbline.operators import semantic as sem
 from plumbline.operators.frequencies import plain_columns
@@ -60,9 +60,10 @@ def find_issues(df: DataFrame, *, checks: Sequence[str] = C.STANDARD, duplicates
     matches = overrides = None
     if rule_table is not None:
         names = df.sparkSession.createDataFrame([(x, t) for x, t in df.dtypes], "column string, type string")
-        matches = rules.match_rules(names, rule_table)
-        by_type = rules.match_rules(names, rule_table, query=F.concat_ws(" ", F.translate("column", "_", " "), "type"))
-        overrides = rules.overrides_from_rules(by_type)
+        if semantic is not None:
+            names = names.join(semantic.select("column", "semantic_type"), "column", "left")
+        matches = rulebook.rules_for_columns(names, rule_table)
+        overrides = rules.overrides_from_rules(matches)
     parts = [C.issues_from_metrics(rows, checks, overrides, dataset_id, min_confidence=min_confidence)]
     if duplicates:
         parts.append(C.duplicate_rows(df, columns, dataset_id))
@@ -134,7 +135,7 @@ def run(df: DataFrame, preset: str = "analyze", *, learned_corrections: DataFram
         matches = None
         if rule_table is not None:
             names = df.sparkSession.createDataFrame([(x,) for x in df.columns], "column string")
-            matches = rules.match_rules(names, rule_table, 5, 0.5)
+            matches = rulebook.rules_for_columns(names, rule_table, 5)
         out["validations"] = cut_lineage(R.validate(out["proposals"], stats, out["totals"], matches, R.clip_counts(df, out["proposals"])))
         out["approved"] = R.approve(out["proposals"], out["validations"])
     return report
@@ -145,7 +146,7 @@ def correct_and_compare(df: DataFrame, plan: R.CorrectionPlan | None = None, dat
     ident = dataset_id or identity(df)
     totals_before, before = measure_and_check(df, ident, **options)
     plan = plan or R.plan_from_issues(before, df)
-    corrected = R.apply(df, plan)
+    corrected = cut_lineage(R.apply(df, plan))  # read by every check of the second round
     totals_after, after = measure_and_check(corrected, ident, **options)
     columns = columns_of(df, ident)
     scores = [scoring.column_scores(columns, x) for x in (before, after)]

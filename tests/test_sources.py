@@ -64,9 +64,9 @@ def test_default_rules(spark, dirty):
     catalogue = readers.load_rules(spark, CATALOGUE)
     assert catalogue.count() == 15 and catalogue.where("severity = 'critical'").count() == 3
     assert rules.active_rules(catalogue, "format").count() == 3
-    bound = rules.bind_rules(catalogue, {"rule_age_range": ["age"], "rule_positive_amounts": ["salary"], "rule_required_fields": ["name"], "rule_email_format": ["email"]})
+    bound = rules.bind_rules(catalogue, {"age_span": ["age"], "amount_floor": ["salary"], "required_fields": ["name"], "email_shape": ["email"]})
     got = {r["rule_id"]: r["affected_count"] for r in rules.predicate_issues(dirty, bound).collect()}
-    assert got == {"rule_age_range:age": 2, "rule_positive_amounts:salary": 1, "rule_required_fields:name": 3, "rule_email_format:email": 1}
+    assert got == {"age_span:age": 2, "amount_floor:salary": 1, "required_fields:name": 3, "email_shape:email": 1}
 
 
 def test_rules_steer_the_checks(spark, dirty):
