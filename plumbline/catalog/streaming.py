@@ -14,6 +14,7 @@ from plumbline.catalog.tracking import FOLD_SQL
 from plumbline.operators import drift as D
 from plumbline.session import checkpoint_dir
 from plumbline.streaming import streams
+from plumbline.streaming.folds import ConfidenceFold, Windowed, WindowFold
 
 c = F.col
 
@@ -23,21 +24,11 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and reads its sink; state and output live in the shared folder.
-
-    A batch that is run again replaces what it wrote. In complete mode the last batch holds the whole result, the
-    windows that are still open too, and late rows count.
-    """
-    path = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-
-    def keep(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
-    return out.where(c("batch_id") == out.agg(F.max("batch_id")).first()[0]) if mode == "complete" else out
+def run_to_end(spark: SparkSession, stream: Windowed) -> DataFrame:
+    """Folds a stream over what there is and reads the result; state and output live in the shared folder."""
+    fold = WindowFold(spark, f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}", stream)
+    fold.write().trigger(availableNow=True).start().awaitTermination()
+    return fold.result()
 
 
 # Each session is one event here.
@@ -48,7 +39,7 @@ SCORE = "CAST(event_id % 101 AS DOUBLE)"
 def dashboard_stream(spark, folder):
     sessions = event_stream(spark, folder).select(c("ts").cast("timestamp").alias("ts"), F.expr(SCORE).alias("quality_score"))
     out = run_to_end(spark, streams.dashboard_by_day(sessions))
-    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "sessions", F.round("avg_quality_score", 6).alias("avg_quality_score"), c("bucket_0_20").alias("low"), c("bucket_80_100").alias("high"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "sessions", F.round("avg_quality_score", 6).alias("avg_quality_score"), c("bucket_0_20").alias("low"), c("bucket_80_100").alias("high"))
 
 
 @query(f"""SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, "column", n_rows, round(nulls, 6) AS null_share, round(hidden, 6) AS pseudo_null_share FROM (
@@ -68,7 +59,7 @@ def batch_check_stream(spark, folder):
     rows = event_stream(spark, folder).withColumn("value", F.expr("CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END"))
 
     def sink(issues: DataFrame, batch_id: int) -> None:
-        issues.write.mode("append").parquet(f"{path}/issues")
+        issues.write.mode("overwrite").parquet(f"{path}/issues/batch_id={batch_id}")
 
     q = streams.check_each_batch(rows, sink, f"{path}/state", ["missing_values", "pseudo_nulls"]).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -77,14 +68,9 @@ def batch_check_stream(spark, folder):
 
 @query(FOLD_SQL)
 def confidence_stream(spark, folder):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = run_to_end(spark, streams.confidence_stream(derive(event_stream(spark, folder), FEEDBACK)), "update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    latest = out.groupBy("check_type").agg(F.max_by(F.struct("confidence", "false_positives", "confirmations"), "batch_id").alias("s"))
-    return latest.select("check_type", "s.*")
+    fold = ConfidenceFold(spark, f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}", derive(event_stream(spark, folder), FEEDBACK))
+    fold.write().trigger(availableNow=True).start().awaitTermination()
+    return fold.result()
 
 
 @query(f"""WITH t AS (SELECT ts, value FROM ({DRIFTING_SQL})), r AS (SELECT value FROM t WHERE {EARLY}), e AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM r),

@@ -64,8 +64,8 @@ def past_corrections(feedback: DataFrame, by: str, k: int = 3) -> DataFrame:
     return refused.withColumn("place", F.row_number().over(order)).where(c("place") <= k).select(by, "place", "user_correction")
 
 
-def confidence_fold(feedback: DataFrame, check: str = "target_type") -> DataFrame:
-    """(check_type, confidence, false_positives, confirmations) after all feedback in time order.
+def confidence_fold(feedback: DataFrame, check: str = "target_type", before: DataFrame | None = None) -> DataFrame:
+    """(check_type, confidence, false_positives, confirmations) after all feedback in time order, from the same table ``before`` it on.
 
     Each false positive after the fifth takes 0.05 (not below 0.5); each confirmation gives 0.02
     (not above 0.99). One step is x -> min(hi, max(lo, x + shift)), and such steps compose to a step
@@ -77,12 +77,12 @@ def confidence_fold(feedback: DataFrame, check: str = "target_type") -> DataFram
         ["check_type", "ts", "feedback_id"],
     )
     first = W.partitionBy("check_type").orderBy("position")
-    tolerated = (
-        events.where(~c("ok")).withColumn("_place", F.row_number().over(first)).where(c("_place") <= TOLERATED_FALSE_POSITIVES)
-        .groupBy("check_type").agg(F.max("position").alias("_free_until"))
-    )
+    early = events.where(~c("ok")).withColumn("_place", F.row_number().over(first)).where(c("_place") <= TOLERATED_FALSE_POSITIVES)
+    if before is not None:
+        early = early.join(before.select("check_type", "false_positives"), "check_type", "left").where(c("_place") <= TOLERATED_FALSE_POSITIVES - F.coalesce("false_positives", F.lit(0)))
+    tolerated = early.groupBy("check_type").agg(F.max("position").alias("_free_until"))
     infinite = float("inf")
-    acting = events.join(tolerated, "check_type", "left").where(c("ok") | (c("position") > c("_free_until")))
+    acting = events.join(tolerated, "check_type", "left").where(c("ok") | (c("position") > F.coalesce("_free_until", F.lit(-1))))
     level = acting.select("check_type", c("position").alias("at"), F.struct(
         F.when(c("ok"), CONFIRMATION_STEP).otherwise(-FALSE_POSITIVE_STEP).alias("shift"),
         F.when(c("ok"), -infinite).otherwise(CONFIDENCE_FLOOR).alias("lo"), F.when(c("ok"), CONFIDENCE_CEILING).otherwise(infinite).alias("hi"),
@@ -95,11 +95,16 @@ def confidence_fold(feedback: DataFrame, check: str = "target_type") -> DataFram
         longest //= FOLD
         if not longest:
             break
-    ends = level.select("check_type", F.round(F.least(c("f.hi"), F.greatest(c("f.lo"), 1.0 + c("f.shift"))), 4).alias("confidence"))
     counts = events.groupBy("check_type").agg(_count(~c("ok")).alias("false_positives"), _count(c("ok")).alias("confirmations"))
-    return counts.join(ends, "check_type", "left").select(
-        "check_type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "false_positives", "confirmations"
-    )
+    moved = counts.join(level.select("check_type", "f"), "check_type", "left")
+    start = F.lit(1.0)
+    if before is not None:
+        old = before.select("check_type", c("confidence").alias("_confidence"), c("false_positives").alias("_wrong"), c("confirmations").alias("_right"))
+        zero = F.lit(0).cast("long")
+        moved = moved.join(old, "check_type", "full_outer").withColumns({"false_positives": F.coalesce("false_positives", zero) + F.coalesce("_wrong", zero), "confirmations": F.coalesce("confirmations", zero) + F.coalesce("_right", zero)})
+        start = F.coalesce("_confidence", F.lit(1.0))
+    end = F.when(c("f").isNull(), start).otherwise(F.round(F.least(c("f.hi"), F.greatest(c("f.lo"), start + c("f.shift"))), 4))
+    return moved.select("check_type", end.alias("confidence"), "false_positives", "confirmations")
 
 
 def _composed(steps: Column) -> Column:

@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions import predicates as P
 from plumbline.operators import checks as C
 from plumbline.operators.drift import EPSILON
-from plumbline.operators.feedback import (
-    CONFIDENCE_CEILING, CONFIDENCE_FLOOR, CONFIRMATION_STEP, FALSE_POSITIVE_STEP, TOLERATED_FALSE_POSITIVES,
-)
 from plumbline.operators.history import score_bucket
+from plumbline.streaming.folds import Windowed
 
 c = F.col
 
 
-def dashboard_by_day(sessions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Sessions, mean score and score buckets per day; rows later than ``delay`` are dropped."""
+def dashboard_by_day(sessions: DataFrame) -> Windowed:
+    """Sessions, mean score and score buckets per day."""
     bucket = score_bucket(c("quality_score"))
-    names = ["0-20", "20-40", "40-60", "60-80", "80-100"]
-    day = sessions.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"))
-    rows = day.agg(
-        F.count(F.lit(1)).alias("sessions"), F.avg("quality_score").alias("avg_quality_score"),
-        *[F.count(F.when(bucket == b, 1)).alias(f"bucket_{b.replace('-', '_')}") for b in names],
-    )
-    return rows.select(c("window.start").alias("day"), *[x for x in rows.columns if x != "window"])
+    buckets = {f"bucket_{b.replace('-', '_')}": F.count_if(bucket == b) for b in ["0-20", "20-40", "40-60", "60-80", "80-100"]}
+    sums = {"sessions": F.count(F.lit(1)), "_scored": F.count("quality_score"), "_total": F.sum("quality_score"), **buckets}
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.select("window_start", "sessions", F.try_divide("_total", "_scored").alias("avg_quality_score"), *buckets)
+
+    return Windowed(sessions, "ts", sums, finish)
 
 
 def check_each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, checks: Sequence[str] = C.STANDARD, **options) -> Any:
-    """Runs the batch checks on every micro-batch; ``sink`` gets the issues and the batch id."""
+    """Runs the batch checks on every micro-batch; ``sink`` gets the issues and the batch id, the same again if a batch is run again."""
     def batch(df: DataFrame, batch_id: int) -> None:
         if not df.isEmpty():
             sink(C.column_issues(df, checks, dataset_id=f"batch_{batch_id}", **options), batch_id)
@@ -43,7 +38,7 @@ def check_each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def quality_by_window(stream: DataFrame, time: str, width: str = "1 day", delay: str = "1 day", columns: Sequence[str] | None = None) -> DataFrame:
+def quality_by_window(stream: DataFrame, time: str, width: str = "1 day", columns: Sequence[str] | None = None) -> Windowed:
     """Null and disguised-null shares per column and time window."""
     names = [x for x in (columns or stream.columns) if x != time]
     entries = []
@@ -52,73 +47,28 @@ def quality_by_window(stream: DataFrame, time: str, width: str = "1 day", delay:
         v = P.quoted(x)
         hidden = P.col(P.is_pseudo_null(v)) if P.is_text(dtype) else F.lit(False)
         entries.append(F.struct(F.lit(x).alias("column"), P.col(P.missing(v, dtype)).cast("int").alias("null"), F.coalesce(hidden, F.lit(False)).cast("int").alias("hidden")))
-    long = stream.withWatermark(time, delay).select(c(time), F.explode(F.array(*entries)).alias("e")).select(time, "e.*")
-    rows = long.groupBy(F.window(time, width), "column").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("null").alias("null_share"), F.avg("hidden").alias("pseudo_null_share")
-    )
-    return rows.select(c("window.start").alias("window_start"), "column", "n_rows", "null_share", "pseudo_null_share")
-
-
-class ConfidenceFold(StatefulProcessor):
-    """Confidence of one check type, moved by each feedback in event-time order within a batch.
-
-    The events of a check in one micro-batch are sorted in memory: bound the batch at the source
-    (maxFilesPerTrigger, maxBytesPerTrigger). A backlog is better folded by ``feedback.confidence_fold``.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("confidence", T.DoubleType()), T.StructField("false_positives", T.LongType()), T.StructField("confirmations", T.LongType())])
-        self.state = handle.getValueState("fold", schema)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        confidence, wrong, right = self.state.get() if self.state.exists() else (1.0, 0, 0)
-        events = pd.concat(list(rows)).sort_values(["ts", "feedback_id"])
-        for ok in events["is_correct"]:
-            if ok:
-                right += 1
-                confidence = min(CONFIDENCE_CEILING, confidence + CONFIRMATION_STEP)
-            else:
-                wrong += 1
-                if wrong > TOLERATED_FALSE_POSITIVES:
-                    confidence = max(CONFIDENCE_FLOOR, confidence - FALSE_POSITIVE_STEP)
-            confidence = round(confidence, 4)
-        self.state.update((confidence, wrong, right))
-        yield pd.DataFrame({"check_type": [key[0]], "confidence": [confidence], "false_positives": [wrong], "confirmations": [right]})
-
-    def close(self) -> None:
-        pass
-
-
-def confidence_stream(feedback: DataFrame, check: str = "target_type") -> DataFrame:
-    """The state after each micro-batch, per check type. Needs the RocksDB state store provider."""
-    rows = feedback.where(c("is_correct").isNotNull()).select(c(check).alias("check_type"), "ts", "feedback_id", "is_correct")
-    return rows.groupBy("check_type").transformWithStateInPandas(
-        statefulProcessor=ConfidenceFold(), outputStructType="check_type string, confidence double, false_positives bigint, confirmations bigint",
-        outputMode="Update", timeMode="None",
-    )
-
-
-def window_bins(stream: DataFrame, time: str, column: str, edges: Sequence[float], width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """(window_start, bin, n) of ``column`` over a stored baseline's edges; values outside are left out."""
+    long = stream.select(c(time), F.explode(F.array(*entries)).alias("e")).select(time, "e.*")
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.select("window_start", "column", "n_rows", (c("_null") / c("n_rows")).alias("null_share"), (c("_hidden") / c("n_rows")).alias("pseudo_null_share"))
+
+    return Windowed(long, time, {"n_rows": F.count(F.lit(1)), "_null": F.sum("null"), "_hidden": F.sum("hidden")}, finish, ["column"], width)
+
+
+def window_drift(stream: DataFrame, time: str, column: str, edges: Sequence[float], reference: Sequence[float], width: str = "1 day") -> Windowed:
+    """(window_start, total, psi): each window of the stream against the baseline's shares per bin; values outside its edges fall into no bin."""
     x = P.col(P.as_double(column, stream.schema[column].dataType))
     bin_of = F.lit(1)
     for i, edge in enumerate(edges[1:-1], start=2):
         bin_of = F.when(x > edge, F.lit(i)).otherwise(bin_of)
-    rows = stream.withWatermark(time, delay).where(x.isNotNull())
     inside = F.when(x.between(edges[0], edges[-1]), bin_of)
-    counted = rows.groupBy(F.window(time, width)).agg(
-        F.count(F.lit(1)).alias("total"), *[F.count(F.when(inside == i, 1)).alias(f"bin_{i}") for i in range(1, len(edges))]
-    )
-    return counted.select(c("window.start").alias("window_start"), "total", *[f"bin_{i}" for i in range(1, len(edges))])
-
-
-def window_drift(stream: DataFrame, time: str, column: str, edges: Sequence[float], reference: Sequence[float], width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """(window_start, total, psi): each window of the stream against the baseline's shares per bin."""
-    rows = window_bins(stream, time, column, edges, width, delay)
-    psi = F.lit(0.0)
-    for i, share in enumerate(reference, start=1):
-        r, q = F.lit(share + EPSILON), c(f"bin_{i}") / c("total") + EPSILON
-        psi = psi + (q - r) * F.log(q / r)
-    return rows.select("window_start", "total", psi.alias("psi"))
+    sums = {"total": F.count(F.lit(1)), **{f"_bin{i}": F.count_if(inside == i) for i in range(1, len(edges))}}
 
+    def finish(rows: DataFrame) -> DataFrame:
+        psi = F.lit(0.0)
+        for i, share in enumerate(reference, start=1):
+            r, q = F.lit(share + EPSILON), c(f"_bin{i}") / c("total") + EPSILON
+            psi = psi + (q - r) * F.log(q / r)
+        return rows.select("window_start", "total", psi.alias("psi"))
 
+    return Windowed(stream.where(x.isNotNull()), time, sums, finish, [], width)
