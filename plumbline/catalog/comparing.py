@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
-from plumbline.catalog.fixtures import DRIFTING_SQL, EARLY, LATE, derive, drift_sides, table
+from plumbline.catalog.fixtures import DRIFTING, DRIFTING_SQL, EARLY, LATE, derive, drift_sides, table
+from plumbline.operators import baselines as B
 from plumbline.operators import drift as D
 from plumbline.operators import outliers as O
 
@@ -67,14 +68,31 @@ SHARES_SQL = """SELECT 'kind' AS "column", kind AS category, coalesce(r.n, 0) AS
 TOTAL = "(SELECT count(*) FROM {t})"
 
 
-@query(over_sides(f"""SELECT 'kind' AS "column", round(sum(power(n_ref - er, 2) / er + power(n_cur - eq, 2) / eq), 5) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS freedom FROM (
-  SELECT n_ref, n_cur, (n_ref + n_cur) * CAST({TOTAL.format(t='r')} AS DOUBLE) / ({TOTAL.format(t='r')} + {TOTAL.format(t='q')}) AS er, (n_ref + n_cur) * CAST({TOTAL.format(t='q')} AS DOUBLE) / ({TOTAL.format(t='r')} + {TOTAL.format(t='q')}) AS eq FROM ({SHARES_SQL}))"""))
+CHI_SQL = f"""SELECT 'kind' AS "column", round(sum(power(n_ref - er, 2) / er + power(n_cur - eq, 2) / eq), 5) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS freedom FROM (
+  SELECT n_ref, n_cur, (n_ref + n_cur) * CAST({TOTAL.format(t='r')} AS DOUBLE) / ({TOTAL.format(t='r')} + {TOTAL.format(t='q')}) AS er, (n_ref + n_cur) * CAST({TOTAL.format(t='q')} AS DOUBLE) / ({TOTAL.format(t='r')} + {TOTAL.format(t='q')}) AS eq FROM ({SHARES_SQL}))"""
+
+
+@query(over_sides(CHI_SQL))
 def chi_squared(spark, folder):
     ref, cur = drift_sides(spark, folder)
     rows = D.chi_squared(D.paired_frequencies(ref, cur, ["kind"]))
     return rows.select("column", F.round("statistic", 5).alias("statistic"), "freedom")
 
 
+@query(over_sides(f"""SELECT "column", total_ref, total_cur, NULL AS statistic, true AS near_exact FROM ({ks_sql('value')} UNION ALL {ks_sql('steady')})
+  UNION ALL SELECT "column", (SELECT count(kind) FROM r), (SELECT count(kind) FROM q), statistic, true FROM ({CHI_SQL})"""))
+def baseline_compared(spark, folder):
+    """The later events against a baseline of the earlier ones, kept day by day and merged: KS within the bound of the sketches, chi-squared exact."""
+    ref, cur = drift_sides(spark, folder)
+    days = derive(table(spark, folder, "events"), DRIFTING).where(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+    stored = B.merged(B.summarise(days, ["value", "steady", "kind"], F.to_date("ts")))
+    found = B.drift_against(stored, cur)
+    exact = D.kolmogorov_smirnov(D.paired_frequencies(ref, cur, ["value", "steady"])).select("column", c("statistic").alias("exact"))
+    both = found.join(exact, "column", "left")
+    near = F.coalesce(F.abs(c("statistic") - c("exact")) <= B.rank_error(), F.lit(True))
+    return both.select("column", "total_ref", "total_cur", F.when(c("column") == "kind", F.round("statistic", 5)).alias("statistic"), near.alias("near_exact"))
+
+
 @query(over_sides(f"""SELECT 'kind' AS "column", round((sum(power(pq - pr, 2) / pr)) / 1e6, 3) AS millions FROM (SELECT (n_ref + 1e-10) / ({TOTAL.format(t='r')} + k * 1e-10) AS pr, (n_cur + 1e-10) / ({TOTAL.format(t='q')} + k * 1e-10) AS pq
   FROM ({SHARES_SQL}), (SELECT count(*) AS k FROM ({SHARES_SQL})))"""))
 def chi_squared_on_shares(spark, folder):
