@@ -10,6 +10,7 @@ from plumbline.catalog.profiling import CUSTOMER_TEXT, SEMANTIC_TYPES_SQL, fmt,
 from plumbline.functions import constants as K
 from plumbline.functions import predicates as P
 from plumbline.operators import checks as C
+from plumbline.operators import evidence as E
 from plumbline.operators import metrics, rules, similarity
 from plumbline.operators import profile as prof
 
@@ -328,3 +329,26 @@ def nearest_vectors(spark, folder):
     centres = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
     rows = similarity.vector_top_k(centres, e, "label", "v", "vec_id", "embedding", 3)
     return rows.withColumn("similarity", F.round("similarity", 5))
+
+
+_EVIDENCE = {
+    ("missing_values", "age"): "age IS NULL", ("missing_values", "email"): "email IS NULL", ("missing_values", "full_name"): "full_name IS NULL",
+    ("pseudo_nulls", "email"): pseudo("email"), ("pseudo_nulls", "segment"): pseudo("segment"), ("pseudo_nulls", "note"): pseudo("note"),
+    ("mixed_types", "code"): f"code IS NOT NULL AND {number('code')} IS NULL",
+    ("format", "email"): f"email IS NOT NULL AND NOT {pseudo('email')} AND NOT {fmt(stripped('email'), 'email')}",
+    ("format", "phone"): f"phone IS NOT NULL AND NOT {pseudo('phone')} AND NOT {fmt(stripped('phone'), 'phone')}",
+}
+
+
+@query(over(CUSTOMERS_SQL, union([
+    f"""SELECT '{rule}' AS rule_id, '{x}' AS "column", (SELECT count(*) FROM t WHERE {where}) AS affected_count, array_to_string(list(row_key ORDER BY row_key), ',') AS row_keys,
+    coalesce(array_to_string(list_filter(list(coalesce(CAST({x} AS VARCHAR), '') ORDER BY row_key)[1:10], lambda v: true), '|'), '') AS samples FROM (SELECT row_key, {x} FROM t WHERE {where} ORDER BY row_key LIMIT 100) HAVING count(*) > 0"""
+    for (rule, x), where in _EVIDENCE.items()])))
+def issues_with_evidence(spark, folder):
+    """Issues of the customers with the keys of the first hundred rows and the first ten values behind each, all from one scan."""
+    rows = customers(spark, folder)
+    wanted = spark.createDataFrame(list(_EVIDENCE), "rule_id string, column string")
+    found = C.column_issues(rows, ["missing_values", "pseudo_nulls", "mixed_types", "format"]).join(wanted, ["rule_id", "column"])
+    shown = E.with_evidence(found, E.evidence(rows, found, ["row_key"]), ["row_key"])
+    keys = F.array_join(F.transform("row_keys", lambda k: k["row_key"].cast("string")), ",")
+    return shown.select("rule_id", "column", "affected_count", keys.alias("row_keys"), F.array_join(F.transform("samples", lambda v: F.coalesce(v, F.lit(""))), "|").alias("samples"))

@@ -7,7 +7,6 @@ All column checks are expressions over the same metrics row, so any set of them
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from plumbline.functions import constants as K
 from plumbline.functions import predicates as P
 from plumbline.functions.expressions import bands, percent, small
 from plumbline.operators import metrics as M
+from plumbline.operators.evidence import first_rows_of_each
 from plumbline.operators.frequencies import plain_columns, top_values, value_frequencies
 from plumbline.operators.semantic import SEMANTIC_METRICS, classification
 
@@ -276,12 +276,9 @@ def pseudo_null_tokens(df: DataFrame, columns: Sequence[str] | None = None, k: i
 
 
 def affected_rows(df: DataFrame, key: Sequence[str], predicates: dict[str, Column], k: int = 100) -> DataFrame:
-    """The first ``k`` rows in ``key`` order that meet each named predicate."""
-    parts = [
-        df.where(p).orderBy(*key).limit(k).select(F.lit(name).alias("predicate"), *key)
-        for name, p in predicates.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The first ``k`` rows in ``key`` order that meet each named predicate, from one scan."""
+    rows = first_rows_of_each(df, key, {name: (p, F.lit(None)) for name, p in predicates.items()}, k)
+    return rows.select(F.col("condition").alias("predicate"), *[f"`{x}`" for x in key])
 
 
 def examples(df: DataFrame, key: Sequence[str], column: str, predicate: Column, k: int = 10) -> DataFrame:

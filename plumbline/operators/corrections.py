@@ -339,7 +339,7 @@ def apply(df: DataFrame, plan: CorrectionPlan) -> DataFrame:
                 fill = fill.try_cast(dtype)
             v = F.coalesce(v, fill)
         if x in plan.standardize:
-            v = (v - of("mean")) / of("std")
+            v = F.when(of("std") > 0, F.try_divide(v - of("mean"), of("std"))).otherwise(v.cast("double") * 0.0)  # 0 in a constant column
         return v.alias(x)
 
     flags = [F.coalesce(cond, F.lit(False)).alias(name) for name, cond in plan.flag.items()]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from plumbline.functions import predicates as P
 from plumbline.functions import pvalues
 from plumbline.functions.expressions import percent, small
 from plumbline.operators import metrics as M
+from plumbline.operators.evidence import sample_of_columns
 from plumbline.operators.frequencies import distinct_counts, plain_columns, top_values, value_frequencies
 from plumbline.operators.ordering import quantiles
 
@@ -99,19 +99,9 @@ def size_estimate(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def sample_values(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """The first ``k`` non-null values per column in ``key`` order.
-
-    A sort with limit per column keeps k rows per task; it reads that column and the key only.
-    """
-    columns = [c for c in (columns or plain_columns(df)) if c not in key] if columns is None else list(columns)
-    parts = [
-        df.where(~P.col(P.missing(P.quoted(c), df.schema[c].dataType)))
-        .select(*[F.col(f"`{x}`").alias(f"_k{i}") for i, x in enumerate(key)], F.col(f"`{c}`").cast("string").alias("value"))
-        .orderBy(*[f"_k{i}" for i in range(len(key))], "value").limit(k)
-        .select(F.lit(c).alias("column"), *[F.col(f"_k{i}") for i in range(len(key))], "value")
-        for c in columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(column, _k0..., value): the first ``k`` non-null values per column in ``key`` order, from one scan."""
+    rows = sample_of_columns(df, key, columns, k)
+    return rows.select("column", *[F.col(f"`{x}`").alias(f"_k{i}") for i, x in enumerate(key)], "value")
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -150,7 +140,7 @@ def category_distribution(df: DataFrame, columns: Sequence[str], k: int = 10) ->
 def shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Skewness, excess kurtosis, normality (D'Agostino K2, whole column) and a label per column."""
     columns = [c for c in (columns or plain_columns(df)) if P.is_numeric(df.schema[c].dataType)]
-    rows = M.column_metrics(df, columns, M.BASIC + ["skewness", "kurtosis"])
+    rows = M.column_metrics(df, columns, M.BASIC + ["skewness", "kurtosis", "min", "max"])
     c = F.col
     k2, p = pvalues.dagostino(c("skewness"), c("kurtosis"), c("n_values"))
     enough = (c("n_values") >= 20) & c("skewness").isNotNull() & ~F.isnan("skewness")
@@ -158,7 +148,7 @@ def shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return rows.select(
         "column", c("n_values").alias("count"), "skewness", "kurtosis", "normality_statistic", "normality_pvalue",
         (c("normality_pvalue") > 0.05).alias("is_normal"),
-        distribution_label(c("skewness"), c("kurtosis"), c("normality_pvalue")).alias("distribution_type"),
+        F.when(c("min") == c("max"), "constant").otherwise(distribution_label(c("skewness"), c("kurtosis"), c("normality_pvalue"))).alias("distribution_type"),
     )
 
 
