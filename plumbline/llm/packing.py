@@ -62,18 +62,18 @@ class _Known(dict):
 class WordIds:
     """Ids of texts by word_bpe_49k.json, whose merges stay within words: each word is encoded once and remembered.
 
-    Texts with characters outside PLAIN are encoded by the tokenizer as a whole.
+    Texts with characters outside PLAIN, or with the name of a special token, are encoded by the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Known(self.tokenizer.model)
 
     def __call__(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(t in text.lower() for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         parts = unicodedata.normalize("NFC", text).lower().split()
         self.known.trim()
