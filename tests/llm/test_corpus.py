@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from compare import compare
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import chat, components, cws, decontam, langid, linededup, packing, pii, quality, secrets, simhash
@@ -132,7 +133,7 @@ def test_near_copies_by_exact_similarity(spark, group):
 def test_packing(documents, texts):
     rows = packing.pack(packing.token_pieces(documents, WORDS, keep_ids=True))
     got = rows.collect()
-    encode = packing.encoder(WORDS).tokenizer
+    encode = Tokenizer.from_file(WORDS)
     ids = {i: [*encode.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -167,9 +168,9 @@ def test_fullest_is_optimal():
 
 
 def test_word_ids_are_the_tokenizers():
-    ids_of = packing.WordIds(WORDS)
-    for t in ["It's Ünïcode, naïve!!  x²½ 12.5\tİstanbul", "漢字 ﬁ Σς", "<|endoftext|> '", "", "ÉÀ'll_re'VE", "\x1c a\x85b"]:
-        assert list(ids_of(t)) == ids_of.tokenizer.encode(t, add_special_tokens=False).ids
+    ids_of, plain = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for t in ["end <|endoftext|> x<|STARTOFTEXT|>y", "<|endoftext|><|startoftext|>", "<|endoftext| >", "It's Ünïcode, naïve!!  x²½ 12.5\tİstanbul", "漢字 ﬁ Σς", "<|endoftext|> '", "", "ÉÀ'll_re'VE", "\x1c a\x85b"]:
+        assert list(ids_of(t)) == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_language_held_out(spark, documents):
@@ -178,6 +179,17 @@ def test_language_held_out(spark, documents):
     assert got >= 0.97
 
 
+def test_letters_are_what_fitting_takes():
+    assert langid.letter_runs("½ ² ① 3 _") == langid.letter_runs(None) == langid.letter_runs("") == []
+    assert langid.letter_runs("Ab½cd, É²é_x1y 漢字 ǅ") == ["ab", "cd", "é", "é", "x", "y", "漢字", "ǆ"]
+
+
+def test_texts_without_letters_are_undetermined(spark, documents):
+    model = langid.fit(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    odd = spark.createDataFrame([(1, "½"), (2, "² ① 3"), (3, None), (4, "und so weiter")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [True, True, True, False]
+
+
 def test_forward_sums_all_segmentations():
     pieces = {b" ": 0, b"a": 1, b"b": 2, b"ab": 3, b" a": 4}
     prob = np.array([[0.1], [0.2], [0.3], [0.25], [0.15]])
