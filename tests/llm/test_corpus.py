@@ -1,6 +1,8 @@
 """Corpus operators against brute force, round trips, held-out accuracy and their SQL."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -258,6 +260,52 @@ def test_pii_base_and_terms(spark):
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "mail.example" not in clean[0] and "Quixanda" not in clean[0]
 
 
+def test_telling_terms_equal_brute_force(spark):
+    """Whole texts count, and a term is marked where its entity isn't: a far name, a name alone, a common word, repeated rows."""
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 30)))
+        if i % 20 == 0:
+            text = f"Quixanda Morbel {'filler ' * 60}{text} a.person@mail.example.org"
+        if i % 45 == 1:
+            text += " it was Quixanda again"
+        if i % 25 == 3:
+            text += f" call +44 20 7946 0958 zorbl{'x' if i > 100 else ''}"
+        rows.append((i if i % 50 else None, text))
+    rows += rows[:3] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once = {(i, t or "") if t is not None else (i, None) for i, t in rows}
+    patterns = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 3: r"\+[0-9][\x20().0-9-]+[0-9]"}
+    held, said = Counter(), Counter()
+    both = {}
+    for i, t in once:
+        found = {(k, m.lower()) for k, p in patterns.items() for m in re.findall(p, t or "")}
+        bare = re.sub(patterns[3], " ", re.sub(patterns[0], " ", t or ""))
+        terms = set(re.findall(r"[^\W\d_]{3,}", bare.lower()))
+        held.update(found)
+        for e in found:
+            for w in terms:
+                both.setdefault((e, w), []).append(t)
+    spans = pii.base_spans(docs)
+    n = len({(i, t) for i, t in rows})
+    got = {(r["kind"], r["entity"], r["term"]): (r["together"], r["with_term"]) for r in pii.disclosing_terms(docs, spans).collect()}
+    said = Counter()
+    for i, t in once:
+        said.update(set(re.findall(r"[^\W\d_]{3,}", re.sub(patterns[3], " ", re.sub(patterns[0], " ", t or "")).lower())))
+    want = {}
+    for (e, w), texts_ in both.items():
+        share = math.log2(len(texts_) * n / (held[e] * said[w])) / math.log2(n / held[e])
+        if share >= 0.9 and len(set(texts_)) >= 3:
+            want[(*e, w)] = (len(texts_), said[w])
+    assert got == want and any(k[2] == "morbel" for k in want)
+    marked = {(r["doc_id"], r["text"]): {r["text"][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == 4} for r in pii.with_spans(docs).collect()}
+    telling = {k[2] for k in want}
+    for (i, t), found in marked.items():
+        assert found == {w for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower()) if w in telling and w in re.sub(patterns[0], " ", (t or "").lower())}
+
+
 def test_secrets(documents, texts):
     patterns = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32)]
     got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["secrets"]] for r in secrets.scan(documents).collect()}
