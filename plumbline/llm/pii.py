@@ -113,19 +113,34 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISC
     return counted.withColumn("share", share).where(F.col("share") >= disclosure - 1e-12).select("kind", "entity", "term", "together", "with_term", "share")
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Spans of the words of a text that are among ``terms``."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+
+    def step(s: Column, m: Column) -> Column:
+        start = s["at"] + m["gap"]
+        end = start + F.char_length(m["match"])
+        span = F.struct(start.cast("int").alias("start"), F.lit(ORDER.index("term")).alias("kind"), end.cast("int").alias("end"))
+        return F.struct(end.cast("int").alias("at"), F.when(F.array_contains(terms, F.lower(m["match"])), F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(_matches(text, "term", TERM), first, step, lambda s: s["found"])
+
+
 def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, h, kind, start, end): the matches, and the disclosing terms wherever they stand; h is xxhash64 of the text."""
+    """(doc_id, h, spans): the matches, and the disclosing terms wherever they stand; h is xxhash64 of the text. Documents without any are left out."""
     base = stored(base_spans(docs))
     telling = stored(disclosing_terms(docs, base, disclosure, support).select("term").distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null")
     hits = rows.select(*KEYS, F.explode(_terms(F.col("text"))).alias("term")).join(telling, "term")
     named = stored(hits.groupBy(*KEYS).agg(F.collect_set("term").alias("terms")))  # words of one text
-    marked = rows.join(named, same_row(rows, named, KEYS)).select(rows["doc_id"], rows["h"], "text", "terms")
-    words = marked.select(*KEYS, "terms", F.explode(_matches(F.col("text"), "term", TERM)).alias("m")).select(*KEYS, "terms", "m.*")
-    placed = _placed(words).join(named.withColumnsRenamed({"doc_id": "own_id", "h": "own_h"}), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
-    terms = placed.where(F.array_contains("terms", F.lower("match")))
-    spot = [*KEYS, "kind", "start", "end"]
-    return base.select(*spot).unionByName(terms.select(*spot))
+    marked = rows.join(named, same_row(rows, named, KEYS)).select(rows["doc_id"], rows["h"], _term_spans(F.col("text"), F.col("terms")).alias("spans"))
+    terms = marked.groupBy(*KEYS).agg(F.first("spans").alias("spans"))  # a repeated document counts once
+    matches = base.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "kind", "end")).alias("spans"))
+    both = matches.unionByName(terms).groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return both.select(*KEYS, F.array_sort("spans").alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -140,9 +155,9 @@ def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     ``row`` is the whole row. A null text counts as empty. Repeated rows each come back, with the same spans.
     """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    found = all_spans(docs, disclosure, support).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    found = all_spans(docs, disclosure, support)
     both = rows.join(found, same_row(rows, found, KEYS), "left")
-    return both.select("row", rows["doc_id"], "text", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"))
+    return both.select("row", rows["doc_id"], "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
