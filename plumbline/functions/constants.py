@@ -12,21 +12,6 @@ COLUMN_DEDUCTION = {"critical": 40, "high": 25, "medium": 12, "low": 5}
 DATASET_DEDUCTION = {"low": 1, "medium": 3, "high": 7, "critical": 15}
 PLAN_GAIN = {"critical": 15, "high": 10, "medium": 5, "low": 2}
 
-ISSUE_TYPES = [
-    "missing_values", "anomaly", "type_mismatch", "constraint_violation", "drift",
-    "duplicate", "format_error", "outlier", "inconsistency",
-]
-CORRECTION_TYPES = [
-    "impute_mean", "impute_median", "impute_mode", "impute_custom", "delete_row", "delete_column",
-    "cast_type", "clip_values", "standardize", "flag_only", "manual_review",
-]
-SEMANTIC_TYPES = [
-    "email", "phone", "first_name", "last_name", "full_name", "postal_code", "address", "city",
-    "country", "identifier", "monetary_amount", "percentage", "age", "date_string", "url",
-    "ip_address", "boolean_text", "category", "product_code", "employee_id", "description",
-    "free_text", "quantity", "rating",
-]
-
 # Whitespace as Python's str.strip() sees it. Spark's trim() alone strips only the blank.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
