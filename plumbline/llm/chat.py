@@ -12,8 +12,8 @@ LEARNT = "assistant"
 
 
 def _whole(turns: DataFrame, name: str) -> DataFrame:
-    """One row for each pair_id: its turns in order. A conversation is one row, as long as it is."""
-    return turns.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias(name))
+    """One row for each pair_id, null left out: its turns in order. A conversation is one row, as long as it is."""
+    return turns.where("pair_id is not null").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias(name))
 
 
 def _head(turn: Column) -> Column:
