@@ -236,6 +236,19 @@ def first_rows(spark, folder):
     return readers.first_rows(table(spark, folder, "orders"), ["o_orderkey"], 1000)
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000")
 def sampled_rows(spark, folder):
     return readers.sample_rows(table(spark, folder, "orders"), ["o_orderkey"], 1000)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT (SELECT count(*) * 2 // 5 FROM lineitem)")
+def cheapest_lines(spark, folder):
+    """Two fifths of the table, so that no task could take them all at scale."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return readers.first_rows(lines, ["l_extendedprice", "l_orderkey", "l_linenumber"], lines.count() * 2 // 5)
+
+
+@query("SELECT * FROM lineitem ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT (SELECT count(*) // 3 FROM lineitem)")
+def sampled_third(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return readers.sample_rows(lines, ["l_orderkey", "l_linenumber"], lines.count() // 3, seed=7)

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.selection import smallest_rows
+
 DELIMITERS = [",", ";", "\t", "|"]
 DELIMITER_BYTES = [d.encode() for d in DELIMITERS]
 UNDEFINED = [bytes([x]) for x in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]  # in windows-1252
@@ -225,9 +227,10 @@ def check_size(df: DataFrame, max_rows: int = 0) -> DataFrame:
 
 def first_rows(df: DataFrame, key: list[str], n: int) -> DataFrame:
     """The first ``n`` rows in key order: a row cap that always keeps the same rows."""
-    return df.orderBy(*key).limit(n)
+    return smallest_rows(df, key, n)
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (or all), chosen by the hash of their key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Exactly ``n`` rows (or all): those with the smallest MD5 of seed and key, the same rows on every run and in any engine."""
+    words = [F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("")) for x in key]
+    return smallest_rows(df, [F.md5(F.concat_ws("|", F.lit(str(seed)), *words).cast("binary")), *key], n)
