@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load_all() -> None:
-    from plumbline.catalog import checking, comparing, correcting, profiling, ruling, running, scoring, streaming, tracking  # noqa: F401
+    from plumbline.catalog import checking, comparing, correcting, dating, profiling, ruling, running, scoring, streaming, tracking  # noqa: F401

@@ -42,20 +42,41 @@ def number(c: str) -> str:
             f"WHEN regexp_matches(lower({s}), '^[+-]?(inf|infinity)\\z') THEN CAST('inf' AS DOUBLE) END")
 
 
-def is_date(c: str) -> str:
+def plain_date(c: str) -> str:
+    """A date of the layouts that can be read one way only, null otherwise."""
     s = stripped(c)
-    dm = r"'^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4})\z'"
     yf = r"'^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})\z'"
+    iso = r"'^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z'"
+    compact = r"'^((19|20)[0-9]{2})([0-9]{2})([0-9]{2})(T[0-9]{6}Z?)?\z'"
+    names = "(jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|oct|october|nov|november|dec|december)"
+    m_first, d_first = rf"'^{names}\.? ([0-9]{{1,2}}),? ([0-9]{{4}})\z'", rf"'^([0-9]{{1,2}})[ -]{names}\.?[ -]([0-9]{{4}})\z'"
 
     def ymd(y: str, m: str, d: str) -> str:
         return f"try_cast({y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
 
-    a, b, year = (f"regexp_extract({s}, {dm}, {i})" for i in (1, 2, 3))
-    y, m, d = (f"regexp_extract({s}, {yf}, {i})" for i in (1, 2, 3))
-    iso = r"'^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?Z?)?\z'"
+    def month(name: str) -> str:
+        return f"CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', left({name}, 3)) + 2) // 3 AS VARCHAR)"
+
+    def part(x: str, pattern: str, i: int) -> str:
+        return f"regexp_extract({x}, {pattern}, {i})"
+
+    low = f"lower({s})"
     return (f"(CASE WHEN regexp_matches({s}, {iso}) THEN try_cast(regexp_extract({s}, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') AS DATE) "
-            f"WHEN regexp_matches({s}, {dm}) THEN coalesce({ymd(year, b, a)}, {ymd(year, a, b)}) "
-            f"WHEN regexp_matches({s}, {yf}) THEN {ymd(y, m, d)} END IS NOT NULL)")
+            f"WHEN regexp_matches({s}, {yf}) THEN {ymd(part(s, yf, 1), part(s, yf, 2), part(s, yf, 3))} "
+            f"WHEN regexp_matches({s}, {compact}) THEN {ymd(part(s, compact, 1), part(s, compact, 3), part(s, compact, 4))} "
+            f"WHEN regexp_matches({low}, {m_first}) THEN {ymd(part(low, m_first, 3), month(part(low, m_first, 1)), part(low, m_first, 2))} "
+            f"WHEN regexp_matches({low}, {d_first}) THEN {ymd(part(low, d_first, 3), month(part(low, d_first, 2)), part(low, d_first, 1))} END)")
+
+
+def numeric_date(c: str, day_first: bool) -> str:
+    s = stripped(c)
+    a, b, year = (rf"regexp_extract({s}, '^([0-9]{{1,2}})[/.\-]([0-9]{{1,2}})[/.\-]([0-9]{{4}})\z', {i})" for i in (1, 2, 3))
+    m, d = (b, a) if day_first else (a, b)
+    return f"try_cast({year} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
+
+
+def is_date(c: str) -> str:
+    return f"(coalesce({plain_date(c)}, {numeric_date(c, True)}, {numeric_date(c, False)}) IS NOT NULL)"
 
 
 def union(parts: list[str]) -> str:

@@ -16,9 +16,15 @@ from plumbline.functions import constants as K
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 INFINITY = r"^[+-]?(inf|infinity)\z"
-ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?Z?)?\z"
+ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z"
 DAY_MONTH = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4})\z"
 YEAR_FIRST = r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})\z"
+COMPACT = r"^((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})(?:T[0-9]{6}Z?)?\z"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+NAMED_MONTH_FIRST = rf"^{MONTH}[.]? ([0-9]{{1,2}}),? ([0-9]{{4}})\z"
+NAMED_DAY_FIRST = rf"^([0-9]{{1,2}})[ -]{MONTH}[.]?[ -]([0-9]{{4}})\z"
+LONGEST_DATE = 40  # characters; all layouts are shorter, so longer texts meet no pattern
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -120,22 +126,48 @@ def to_date(c: str) -> str:
     return date_of(strip(c))
 
 
-def date_of(s: str) -> str:
-    """Year first (with an optional time), day/month/year and month/day/year. Layouts are told apart
-    by pattern and read with ``try_cast``, which returns null instead of raising.
-    """
-    def ymd(y: str, m: str, d: str) -> str:
-        return f"try_cast(concat_ws('-', {y}, lpad({m}, 2, '0'), lpad({d}, 2, '0')) as date)"
+def _ymd(y: str, m: str, d: str) -> str:
+    return f"try_cast(concat_ws('-', {y}, lpad({m}, 2, '0'), lpad({d}, 2, '0')) as date)"
+
+
+def _parts(s: str, pattern: str) -> list[str]:
+    return [f"regexp_extract({s}, r'{pattern}', {i})" for i in (1, 2, 3)]
 
-    a, b, year = (f"regexp_extract({s}, r'{DAY_MONTH}', {i})" for i in (1, 2, 3))
-    y, m, d = (f"regexp_extract({s}, r'{YEAR_FIRST}', {i})" for i in (1, 2, 3))
+
+def _named_month(name: str) -> str:
+    return f"cast((locate(substr({name}, 1, 3), '{MONTHS}') + 2) div 3 as string)"
+
+
+def plain_date_of(s: str) -> str:
+    """Text to date over the layouts that can be read one way only: year first (with an optional time and offset; the date
+    as written), YYYYMMDD of the years 1900 to 2099, and English month names. Layouts are told apart by pattern and read with
+    ``try_cast``, which returns null instead of raising.
+    """
     iso = f"try_cast(regexp_extract({s}, r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}', 0) as date)"
+    m1, d1, y1 = _parts(f"lower({s})", NAMED_MONTH_FIRST)
+    d2, m2, y2 = _parts(f"lower({s})", NAMED_DAY_FIRST)
     return (
-        f"(case when {matches(s, ISO_DATE)} then {iso} when {matches(s, DAY_MONTH)} then coalesce({ymd(year, b, a)}, {ymd(year, a, b)}) "
-        f"when {matches(s, YEAR_FIRST)} then {ymd(y, m, d)} end)"
+        f"(case when char_length({s}) > {LONGEST_DATE} then null when {matches(s, ISO_DATE)} then {iso} "
+        f"when {matches(s, YEAR_FIRST)} then {_ymd(*_parts(s, YEAR_FIRST))} when {matches(s, COMPACT)} then {_ymd(*_parts(s, COMPACT))} "
+        f"when {matches(f'lower({s})', NAMED_MONTH_FIRST)} then {_ymd(y1, _named_month(m1), d1)} "
+        f"when {matches(f'lower({s})', NAMED_DAY_FIRST)} then {_ymd(y2, _named_month(m2), d2)} end)"
     )
 
 
+def numeric_date_of(s: str, day_first: bool) -> str:
+    """Text to date for 31/12/2023 (``day_first``) or 12/31/2023."""
+    a, b, year = _parts(s, DAY_MONTH)
+    return f"(case when {matches(s, DAY_MONTH)} then {_ymd(year, b, a) if day_first else _ymd(year, a, b)} end)"
+
+
+def date_of(s: str) -> str:
+    """Text to date over all layouts; a cell by itself reads 05/06/2024 as day first and takes either order where only one fits.
+
+    ``datelayouts`` settles the order by the whole column.
+    """
+    return f"coalesce({plain_date_of(s)}, {numeric_date_of(s, True)}, {numeric_date_of(s, False)})"
+
+
 def is_date_text(c: str) -> str:
     return f"({to_date(c)} is not null)"
 
