@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
-from plumbline.catalog.fixtures import DRIFTING, DRIFTING_SQL, EARLY, LATE, derive, drift_sides, table
+from plumbline.catalog.fixtures import DRIFTING, DRIFTING_SQL, EARLY, LATE, as_sql, derive, drift_sides, table
 from plumbline.operators import baselines as B
 from plumbline.operators import drift as D
 from plumbline.operators import outliers as O
@@ -243,3 +243,24 @@ def investigated_values(spark, folder):
 def values_near_outliers(spark, folder):
     df = wild(spark, folder)
     return O.nearest_values(df, "value", O.investigate(df, "value", ["event_id"], c("value") > 200))
+
+
+PLANTED = {"o_orderkey": "o_orderkey", "price": "CASE WHEN o_orderkey % 500 = 0 THEN 1000000000.0 + o_totalprice ELSE o_totalprice END"}
+
+
+@query(f"""SELECT 'price' AS "column", count(*) FILTER (WHERE price > 900000000) AS planted, count(*) FILTER (WHERE price > 900000000) AS planted_found, true AS within_share, true AS same_after_repartition
+  FROM ({as_sql(PLANTED, "orders")})""")
+def planted_outliers_found(spark, folder):
+    """The forest finds every planted price, marks no larger share than asked for, and the same rows however they are partitioned."""
+    df = derive(table(spark, folder, "orders"), PLANTED)
+    runs = []
+    for rows in (df, df.repartition(13)):
+        runs.append(O.detect_outliers(rows, O.fit_forest(rows, ["o_orderkey"], ["price"], contamination=0.05), ["o_orderkey"]))
+    first, second = (x.groupBy("column").agg(
+        F.count(F.lit(1)).alias(f"n{i}"), F.count_if(F.col("value") > 900000000).alias(f"found{i}"), F.bit_xor(F.xxhash64("o_orderkey", "value")).alias(f"rows{i}")) for i, x in enumerate(runs))
+    totals = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") > 900000000).alias("planted"))
+    return first.join(second, "column", "full_outer").select(
+        "column", totals.select("planted").scalar().alias("planted"), F.col("found0").alias("planted_found"),
+        (F.col("n0") <= 0.05 * totals.select("n").scalar() + 1).alias("within_share"),
+        (F.col("n0").eqNullSafe(F.col("n1")) & F.col("rows0").eqNullSafe(F.col("rows1"))).alias("same_after_repartition"),
+    )

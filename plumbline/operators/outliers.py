@@ -23,6 +23,7 @@ from plumbline.operators.checks import details, finish, issue
 from plumbline.operators.frequencies import plain_columns, value_frequencies
 from plumbline.operators.metrics import column_metrics
 from plumbline.operators.ordering import cumulative, quantiles
+from plumbline.operators.skew import hot_keys, join_spread
 
 c = F.col
 SCALE = 1 << 30
@@ -226,7 +227,8 @@ def investigate(df: DataFrame, column: str, key: Sequence[str], rows: Column) ->
     ).alias("s"))
     below = cumulative(freq, ["column"]).select(c("number").alias("value"), c("n_before").alias("below"))
     picked = df.where(rows & x.isNotNull()).select(*key, (x + 0.0).alias("value"))
-    out = picked.join(below, "value").withColumn("s", stats.scalar())
+    hot = hot_keys(freq.select(c("number").alias("value"), "n"), ["value"], "n")
+    out = join_spread(picked, below, ["value"], hot, key).withColumn("s", stats.scalar())
     iqr = c("s.q3") - c("s.q1")
     z = F.when(c("s.std") > 0, (c("value") - c("s.mean")) / c("s.std")).otherwise(0.0)
     out = out.select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +174,6 @@ def analyze_files(spark: SparkSession, paths: Sequence[str], **options) -> DataF
             report = run(df, "quality", **options)
             score = report.score.first()["score"]
             rows.append((name, "success", float(score), report.issues.count(), None))
-        except Exception as error:  # the result row carries it
+        except (PySparkException, ValueError, OSError) as error:  # of the file; the result row carries it
             rows.append((name, "error", None, None, str(error).split("\n")[0][:500]))
     return spark.createDataFrame(rows, "filename string, status string, quality_score double, issues_count bigint, error string")
