@@ -132,6 +132,27 @@ def test_near_copies_by_exact_similarity(spark, group):
     assert got == set(roots(texts, near).values())
 
 
+def test_pipeline_drops_what_fingerprints_link(spark, documents, texts):
+    """Near-dedup links by the fingerprints of the byte index, and by similarity: a passage repeated another number of times differs in few bits but shares little of its set."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 30)]
+        rows += [(3 * i, " ".join(w * 12)), (3 * i + 1, " ".join(w * 12 + [f"e{x}" for x in rng.integers(0, 1 << 40, 6 + i % 8)]))]
+    rows += [(1000 + 2 * i, t) for i, t in enumerate(texts.values())] + [(None, None), (5000, ""), (5001, " \n")]
+    made = {i: t or "" for i, t in rows}
+    order = sorted(made, key=lambda i: (i is not None, i))
+    prints, sets = {i: fingerprint(t) for i, t in made.items()}, {i: shingles(t) for i, t in made.items()}
+    at = {i: k for k, i in enumerate(order)}
+    bits = [(at[a], at[b]) for a in order for b in order if at[a] < at[b] and (prints[a] ^ prints[b]).bit_count() <= 3]
+    alike = [(at[a], at[b]) for a in order for b in order if at[a] < at[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {order[x] for x in set(roots(at.values(), bits + alike).values())}
+    assert len(want) < len(set(roots(at.values(), alike).values()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=lambda i: (i is not None, i)) == sorted(want, key=lambda i: (i is not None, i))
+
+
 def test_packing(documents, texts):
     rows = packing.pack(packing.token_pieces(documents, WORDS, keep_ids=True))
     got = rows.collect()
