@@ -6,7 +6,6 @@ A rule row is (rule_id, text, rule_type, severity, category, active) plus, for e
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -18,8 +17,8 @@ from plumbline.functions import predicates as P
 from plumbline.functions.expressions import contains_any, percent, small
 from plumbline.operators.checks import c, details, finish, issue, repeats
 from plumbline.operators.nearrows import wide_near_duplicates
+from plumbline.operators.nearsubsets import near_duplicates_by_subsets
 from plumbline.operators.similarity import text_top_k
-from plumbline.operators.skew import hot_keys, join_spread
 
 
 def active_rules(rules: DataFrame, rule_type: str | None = None) -> DataFrame:
@@ -155,7 +154,7 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
 
 
-MOST_SUBSETS = 1000  # signatures of a row; where there would be more, rows meet on blocks of columns
+MOST_SUBSETS = 1000  # subsets of columns; where there would be more, rows meet on blocks of columns
 
 
 def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str], ratio: float = 0.9, most_subsets: int = MOST_SUBSETS) -> DataFrame:
@@ -164,32 +163,18 @@ def near_duplicates(df: DataFrame, block: Sequence[str], compare: Sequence[str],
     A partner is another row of the same block that agrees on at least ``ratio`` of the compared columns, null
     agreeing with null; copies of the row count too. Exact copies are folded first.
 
-    Few columns: rows are grouped by the values of each subset of at least that many columns and never paired. A
-    partner that agrees on j columns is met in several subsets, so the group sizes are added with the signs and weights of
-    inclusion-exclusion, (-1)^(k - least) * C(k - 1, least - 1) for a subset of k columns, which counts each partner once.
-    The rows of a large group are spread over several tasks. Many columns (more than ``most_subsets`` subsets):
-    ``nearrows.wide_near_duplicates``, with the same result.
+    Few columns: the groups of equal values of each subset of at least that many columns are counted and rows never paired
+    (``nearsubsets``). Many columns (more than ``most_subsets`` subsets): ``nearrows.wide_near_duplicates``, with the same result.
     """
     m = len(compare)
     least = math.ceil(ratio * m - 1e-9)
     if not 1 <= least <= m:
         raise ValueError("the ratio must ask for at least one of the compared columns and at most all")
     columns = [*block, *compare]
+    if sum(math.comb(m, k) for k in range(least, m + 1)) <= most_subsets:
+        return near_duplicates_by_subsets(df, block, compare, least)
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    if sum(math.comb(m, k) for k in range(least, m + 1)) > most_subsets:
-        return wide_near_duplicates(rows, block, compare, least)
-    # a signature is the block, the subset's number and its values, as JSON: equal text, equal values
-    subsets = [s for k in range(least, m + 1) for s in itertools.combinations(range(m), k)]
-    signatures = F.array(*[
-        F.struct(F.to_json(F.struct(*block, F.lit(i).alias("_subset"), *[compare[k] for k in subset])).alias("sig"),
-                 F.lit((-1) ** (len(subset) - least) * math.comb(len(subset) - 1, least - 1)).cast("long").alias("weight"))
-        for i, subset in enumerate(subsets)
-    ])
-    signed = rows.select(*columns, "copies", F.explode(signatures).alias("_s")).select(*columns, "copies", "_s.sig", "_s.weight")
-    groups = signed.groupBy("sig").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("fan"))
-    shared = groups.where("rows > 1")  # the weights of a row add up to 1, which is the row itself; a group of one adds nothing
-    found = join_spread(signed, shared.select("sig", "rows"), ["sig"], hot_keys(groups.select("sig", "fan"), ["sig"], "fan"), columns)
-    return found.groupBy(*columns, "copies").agg(F.sum(F.col("weight") * (F.col("rows") - 1)).alias("partners"))
+    return wide_near_duplicates(rows, block, compare, least)
 
 
 # Executable rules: a rule row with ``kind`` and ``params``, bound to columns by the caller.

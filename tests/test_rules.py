@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import history, nearrows, rulebook, rules, subwords
+from plumbline.operators import history, nearrows, nearsubsets, rulebook, rules, subwords
 from plumbline.sources.readers import load_rules
 
 CATALOGUE = str(Path(history.__file__).parent.parent / "data" / "default_rules.json")
@@ -135,3 +135,34 @@ def test_wide_near_duplicates(spark, m, ratio, posting, tile):
     assert got == brute_partners(rows, 1, least)
     if m == 50 and posting == 2000:
         assert {tuple(r)[:-2]: (r["copies"], r["partners"]) for r in rules.near_duplicates(df, ["g"], names, ratio).collect()} == got
+
+
+@pytest.mark.parametrize(("m", "ratio", "blocks", "group"), [(4, 0.75, 1, 1000), (4, 0.75, 1, 20), (10, 0.7, 0, 1000), (10, 0.7, 0, 6), (5, 0.2, 2, 1), (3, 1.0, 0, 2)])
+def test_near_duplicates_by_subsets(spark, m, ratio, blocks, group):
+    rng = random.Random(m + group)
+    bases = [[rng.randrange(9) for _ in range(m)] for _ in range(8)]
+    rows = []
+    for _ in range(300):
+        row = [float(x) if i == 0 else f"{'long ' * 20}{x}" if i == 1 else x for i, x in enumerate(rng.choice(bases))]
+        for i in rng.sample(range(m), rng.randint(0, m - 1)):
+            row[i] = None if rng.random() < 0.2 else rng.choice([0.0, 1.5, -7.0]) if i == 0 else str(rng.randrange(3)) if i == 1 else rng.randrange(5)
+        rows.append((*[rng.choice([1, 2, None]) for _ in range(blocks)], *row))
+    rows += rows[:40]
+    by, names = [f"g {i}" for i in range(blocks)], [f"c{i}" for i in range(m)]
+    kinds = [*["int"] * blocks, "double", "string", *["int"] * (m - 2)]
+    schema = ", ".join(f"`{x}` {k}" for x, k in zip([*by, *names], kinds, strict=True))
+    signed = [tuple(-0.0 if x == 0.0 and isinstance(x, float) and rng.random() < 0.5 else x for x in r) for r in rows]
+    got = nearsubsets.near_duplicates_by_subsets(spark.createDataFrame(signed, schema), by, names, math.ceil(ratio * m - 1e-9), group).collect()
+    assert {tuple(r)[:-2]: (r["copies"], r["partners"]) for r in got} == brute_partners(rows, blocks, math.ceil(ratio * m - 1e-9))
+    assert len(got) == len({tuple(r)[:-2] for r in got})
+
+
+def test_near_duplicates_travel_once(spark):
+    """Rows of a block are counted where they lie, not sent once for each subset; times are compared to the microsecond, NaN is NaN."""
+    df = spark.range(40).selectExpr("id % 4 as g", "timestamp_micros(id div 4) as t", "id % 5 as a", "id % 7 as b", "cast('NaN' as double) as x")
+    found = rules.near_duplicates(df, ["g"], ["t", "a", "b", "x"], 0.75)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    rows = [(r["g"], r["t"], r["a"], r["b"], "nan") for r in df.collect()]
+    want = brute_partners(rows, 1, 3)
+    assert {(r["g"], r["t"], r["a"], r["b"], "nan"): (r["copies"], r["partners"]) for r in found.collect()} == want
