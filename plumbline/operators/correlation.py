@@ -16,9 +16,11 @@ from plumbline.functions.expressions import bands, small
 from plumbline.operators.frequencies import plain_columns
 from plumbline.operators.ordering import cumulative, positions
 from plumbline.operators.skew import hot_keys, join_spread
+from plumbline.session import stored
 
 c = F.col
 PAIRS_PER_SCAN = 300
+FEW = 4096  # distinct values of a side whose ranks are broadcast
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -83,18 +85,29 @@ def _attach(rows: DataFrame, table: DataFrame, marginal: DataFrame, axis: str) -
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_1, column_2, correlation): Pearson of average ranks, ranked within each pair's complete rows."""
+    """(column_1, column_2, correlation): Pearson of average ranks, ranked within each pair's complete rows.
+
+    The ranks of the side with fewer distinct values are joined to the joint frequencies, which are then summed for each
+    value of the other side, so that side is ranked in its sums and not joined.
+    """
     pairs = _pairs(df, columns)
-    joint = joint_frequencies(df, pairs)
-    rows = joint
-    for axis, rank in (("x", "rx"), ("y", "ry")):
-        marginal = _marginal(joint, axis)
-        ranks = cumulative(marginal, ["pair"], axis).withColumn(rank, c("n_before") + (c("n") + 1) / 2.0)
-        rows = _attach(rows, ranks.select("pair", axis, rank), marginal, axis)
-    totals = joint.groupBy("pair").agg(((F.sum("n") + 1) / 2.0).alias("center"))
-    dx, dy, n = c("rx") - c("center"), c("ry") - c("center"), c("n")
-    out = rows.join(small(totals), "pair").groupBy("pair").agg(
-        F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy))).alias("correlation")
+    joint = stored(joint_frequencies(df, pairs))
+    sides = {r["pair"]: (r["x"], r["y"]) for r in joint.groupBy("pair").agg(*[F.approx_count_distinct(a).alias(a) for a in ("x", "y")]).collect()}  # a row for each pair
+    turned = c("pair").isin([p for p, (x, y) in sides.items() if x < y])
+    joint = joint.select("pair", F.when(turned, c("y")).otherwise(c("x")).alias("x"), F.when(turned, c("x")).otherwise(c("y")).alias("y"), "n")
+    marginal = stored(_marginal(joint, "y"))
+    centers = marginal.groupBy("pair").agg(((F.sum("n") + 1) / 2.0).alias("center"))
+    rank = c("n_before") + (c("n") + 1) / 2.0
+    ranks = stored(cumulative(marginal.drop("fan"), ["pair"], "y").join(small(centers), "pair").select("pair", "y", "n", (rank - c("center")).alias("dy")))
+    few = c("pair").isin([p for p, both in sides.items() if min(both) <= FEW])
+    rows = joint.where(few).join(small(ranks.where(few).select("pair", "y", "dy")), ["pair", "y"])
+    if any(min(both) > FEW for both in sides.values()):
+        rows = rows.unionByName(_attach(joint.where(~few), ranks.where(~few).select("pair", "y", "dy"), marginal.where(~few), "y"))
+    sums = stored(rows.groupBy("pair", "x").agg(F.sum("n").alias("n"), F.sum(c("n") * c("dy")).alias("s")))
+    spread = ranks.groupBy("pair").agg(F.sum(c("n") * c("dy") * c("dy")).alias("yy"))
+    dx = rank - c("center")
+    out = cumulative(sums, ["pair"], "x").join(small(centers.join(spread, "pair")), "pair").groupBy("pair").agg(
+        F.try_divide(F.sum(c("s") * dx), F.sqrt(F.sum(c("n") * dx * dx) * F.first("yy"))).alias("correlation")
     )
     return _named(out, pairs)
 
